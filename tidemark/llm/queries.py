@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from . import decontaminate, simhash_dedup, substring_dedup, toxicity
+from . import decontaminate, fingerprints, licenses, lm_score, mixing, pii, sharding, simhash_dedup, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,26 +33,116 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), F.coalesce("next_prefix", F.lit("")))
+    rows = fingerprints.with_next(c.documents(spark, sf_dir)).withColumn("edited", edited)
+    rows = fingerprints.with_sketch(rows, "edited", "edited_sketch")
+    return rows.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.to_string(F.col("sketch")).alias("fingerprint"),
+        fingerprints.to_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "next_id",
+        fingerprints.distinct_shingles(F.col("sketch")).alias("n_shingles"),
+        fingerprints.containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_in_own"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(c.documents(spark, sf_dir))
+    first = F.transform("base", lambda x: x["first"])
+
+    def labels(*places):
+        every = F.concat(*[F.transform(p, lambda x: x["label"]) for p in places])
+        return F.array_join(F.array_sort(F.array_distinct(every)), ",")
+
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("base", "found").alias("labels"),
+        "score",
+        "found",
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(c.documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed"
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of quality, but those of the held-out fold."""
+    docs, labels = c.documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    chosen = labels.where((F.col("quality") == 1) & ~toxicity.held_out(F.col("doc_id")))
+    return lm_score.score(docs, lm_score.fit(docs, chosen))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.group(c.documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(c.documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
+    )
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.documents(spark, sf_dir)
+    rows = pii.find(docs, pii.fit(docs))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return rows.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    rows = c.pick(c.documents(spark, sf_dir), "doc_id", "text").select(
+        "doc_id",
+        c.text_hash(text).alias("row"),
+        sharding.size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return sharding.places(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_decontamination,
             op2_toxicity,
+            op3_fingerprints,
+            op4_license_scan,
             op5_substring_dedup,
+            op6_lm_score,
             op7_simhash_dedup,
+            op8_mixing,
+            op9_pii,
+            op10_sharding,
         )
     }
 
