@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-SAMPLE = 4000
-SAMPLE_BYTES = 64 << 20
+SAMPLE = 3000
+SAMPLE_BYTES = 24 << 20
 FEATURES = 3000
 LEAST_DOCUMENTS = 5
 L1 = 0.003  # over the square root of the sample's size
@@ -116,23 +116,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.empty(0, np.uint64), np.empty(0), -40.0, sizes.get(1, 0) / total if total else 0.0)
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
     weight /= weight.sum()
-    parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in found["features"]]
-    doc = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
-    sentence, word = np.concatenate(parts, axis=1) if parts else np.empty((2, 0), np.uint64)
-    sentence = np.unique(np.stack([doc.astype(np.uint64), sentence]), axis=1, return_inverse=True)
-    owner, sentence = sentence[0][0].astype(np.int64), sentence[1].reshape(-1)
-    hashes, word = np.unique(word, return_inverse=True)
-    in_doc = np.unique(doc * len(hashes) + word)
-    share = [np.bincount(in_doc % len(hashes), (weight * (y == k))[in_doc // len(hashes)], len(hashes)) / (weight @ (y == k)) for k in (0.0, 1.0)]
-    often = np.bincount(in_doc % len(hashes), minlength=len(hashes))
+    # A document at a time, and of each word of the sample one entry a document: the driver holds no more.
+    bags = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in found["features"]]
+    words = [np.unique(b[1]) for b in bags]
+    owner = np.repeat(np.arange(len(bags)), [len(x) for x in words])
+    hashes, place = np.unique(np.concatenate(words), return_inverse=True)
+    often = np.bincount(place, minlength=len(hashes))
+    share = [np.bincount(place, (weight * (y == k))[owner], len(hashes)) / (weight @ (y == k)) for k in (0.0, 1.0)]
     spread = np.abs(share[1] - share[0]) / np.sqrt((share[0] + share[1]) / 2 + 1e-4)
     spread[often < LEAST_DOCUMENTS] = 0
     kept = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
-    kept = kept[spread[kept] > 0]
-    place = np.full(len(hashes), -1)
-    place[kept] = np.arange(len(kept))
-    known = place[word] >= 0
-    return _descend(place[word][known], sentence[known], owner, y, weight, hashes[kept])
+    kept = hashes[kept[spread[kept] > 0]]
+    del words, owner, place, share, hashes
+    features, sentence, owner, count = [], [], [], 0
+    for i, (number, word) in enumerate(bags):
+        own, number = np.unique(number, return_inverse=True)
+        at = np.searchsorted(kept, word)
+        known = np.flatnonzero(kept[np.minimum(at, len(kept) - 1)] == word) if len(kept) else np.empty(0, np.int64)
+        features.append(at[known])
+        sentence.append(number[known] + count)
+        owner.append(np.full(len(own), i))
+        count += len(own)
+    features, sentence, owner = (np.concatenate(x).astype(np.int64) for x in (features, sentence, owner))
+    return _descend(features, sentence, owner, y, weight, kept)
 
 
 def _descend(feature, sentence, owner, y, weight, hashes) -> Model:
