@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 from .ordering import before
 
-K = 128
+K = 96
 SHINGLE = 5
 SALTS = 64
 _BLANK = " \t\n\x0b\x0c\r"
@@ -100,7 +100,7 @@ def with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = c.pick(docs, "doc_id", "text").select(
-        "doc_id", text.alias("text"), F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text").isNull().cast("string"), text))).alias("row")
+        "doc_id", text.alias("text"), F.coalesce(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text").isNull().cast("string"), text)), F.lit("")).alias("row")
     )
     order = [F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("down")]
     ids = rows.select("row", *order, F.length("text").alias("n")).distinct()
@@ -110,13 +110,13 @@ def with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     own = with_sketch(rows, "text", "sketch", k, shingle).withColumn("time", F.count(F.lit(1)).over(times))
     sent = own.where("time = 1").join(follows, "row").select(
         F.col("prev").alias("row"),
-        F.lit(1).cast("long").alias("time"),
         F.col("doc_id").alias("next_id"),
         F.expr("substring(text, 1, n div 3)").alias("next_prefix"),
         F.col("sketch").alias("next_sketch"),
     )
     again = F.col("time") > 1
-    return own.join(sent, ["row", "time"], "left").select(
+    # Both joins are on row alone, never null, so that the texts' one exchange serves them and the window.
+    return own.join(sent, "row", "left").select(
         "doc_id",
         "text",
         "sketch",
