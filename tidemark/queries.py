@@ -399,7 +399,7 @@ def mart_repeat_rate(spark, sf):
 ASOF = f"""WITH {VERSIONS}, marks AS (
   SELECT CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS asof_ts FROM (SELECT unnest(generate_series(
     (SELECT date_trunc('day', min(valid_from)) FROM versions), (SELECT date_trunc('day', max(valid_from)) FROM versions), INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) = 0
-), asof AS (
+), weekly AS (
   SELECT asof_ts, service_slug, count(*) AS open_issues_asof FROM marks JOIN versions ON valid_from <= asof_ts AND asof_ts < valid_to WHERE state = 'open' GROUP BY 1, 2
 )"""
 
@@ -409,7 +409,7 @@ def _asof(spark, sf):
     return marts.mart(spark, "open_backlog_asof_weekly").withColumn("asof_ts", F.col("asof_ts").cast("timestamp_ntz"))
 
 
-@query(f"{ASOF} SELECT * FROM asof")
+@query(f"{ASOF} SELECT * FROM weekly")
 def mart_asof_weekly(spark, sf):
     return _asof(spark, sf)
 
@@ -484,12 +484,12 @@ def dash_weekly_median(spark, sf):
     return dashboard.weekly_median(_opened(spark, sf)).withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
 
 
-@query(f"{ASOF} SELECT service_slug, max(open_issues_asof) AS peak FROM asof GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+@query(f"{ASOF} SELECT service_slug, max(open_issues_asof) AS peak FROM weekly GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 def dash_top_services(spark, sf):
     return dashboard.top_services(_asof(spark, sf), 3)
 
 
-@query(f"""{ASOF} SELECT asof_ts, max(open_issues_asof) FILTER (service_slug = 'click') AS click, max(open_issues_asof) FILTER (service_slug = 'view') AS "view" FROM asof GROUP BY 1""")
+@query(f"""{ASOF} SELECT asof_ts, max(open_issues_asof) FILTER (service_slug = 'click') AS click, max(open_issues_asof) FILTER (service_slug = 'view') AS "view" FROM weekly GROUP BY 1""")
 def dash_pivot(spark, sf):
     rows = _asof(spark, sf)
     return rows.groupBy("asof_ts").pivot("service_slug", ["click", "view"]).agg(F.first("open_issues_asof", ignorenulls=True))
