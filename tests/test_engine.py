@@ -160,7 +160,8 @@ class Service:
         from urllib.parse import parse_qs, urlparse
 
         if "comments" in url:
-            return rest.Response(200, {}, "[]")
+            said = {"id": 1, "issue_url": "http://x/issues/1000", "body": "b", "user": {"login": "z"}, "author_association": "OWNER"}
+            return rest.Response(200, {}, json.dumps([said | {"created_at": TS.format(3), "updated_at": TS.format(3)}]))
         self.calls += 1
         if self.calls > self.quota:
             return rest.Response(403, {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "99"})
@@ -208,7 +209,7 @@ def test_run_end_to_end(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("TIDEMARK_STORAGE_ROOT", str(tmp_path))
     monkeypatch.setenv("TIDEMARK_REPOS", "o/a,o/b")
     out = cli.main(["all", "--run-id", "r1", "--snapshot-at", "2025-03-01 00:00:00"], spark, transport)["stages"]
-    assert Counter(x["records"] for x in out["ingest"]["result"]) == {70: 2, 0: 2}
+    assert Counter(x["records"] for x in out["ingest"]["result"]) == {70: 2, 1: 2}
     # Both repositories serve the same ids here, so silver keeps one of each.
     assert out["silver"]["result"]["tables"]["issues"]["silver_rows"] == 70
     assert out["gold"]["result"]["scd2"] == {"inserted_new": 70, "changed": 0, "late_ignored": 0}

@@ -114,7 +114,7 @@ def scores(spark: SparkSession, config: Config, run_id: str) -> dict[str, Any]:
         report: dict[str, Any] = {"run_id": run_id}
         found = ml.topics(rows, config["topics"])
         if found is None:
-            return report | {"skipped": f"fewer than {ml.FEWEST} issues"}
+            return report | {"skipped": f"fewer than {ml.FEWEST} issues, or no frequent term"}
         report["topics"] = table(spark, config, "gold.issue_topics").publish(found, run_id)
         risk = ml.escalation(rows, config["sla"]["slow_resolution_days"])
         if risk is None:

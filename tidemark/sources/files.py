@@ -74,7 +74,7 @@ def read_bronze(spark: SparkSession, path: str, since: str | None = None) -> Dat
 
     The day is a partition of the path, so earlier days are not opened.
     """
-    if not children(spark, path):
+    if not any(x.startswith("repo=") for x in children(spark, path)):
         return None
     lines = spark.read.option("basePath", path).text(f"{path}/repo=*/ingest_date=*").select("value", "ingest_date")
     if since:
