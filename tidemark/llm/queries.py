@@ -75,7 +75,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(c.documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed"
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
@@ -147,5 +147,28 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Windows compared as text, marks by position; the other queries hash or draw in ways that SQL lacks.
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(generate_series(1, len(words) - 34)) AS i FROM w WHERE len(words) >= 35
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM starts
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS at FROM repeated
+), places AS (
+  SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS at FROM w
+), kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.at) AS text
+  FROM places p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.at = p.at WHERE c.at IS NULL GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": OP5_SQL}
