@@ -111,7 +111,8 @@ def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
     """Background: all docs(doc_id, text). Target: those with an id in target_ids(doc_id)."""
     c.short_batches(docs.sparkSession)
     ids = c.pick(target_ids, "doc_id").where("doc_id is not null").distinct().select(F.col("doc_id").alias("_id"), F.lit(True).alias("target"))
-    rows = c.pick(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
+    # The ids grow with the corpus and are never broadcast, however few they are today.
+    rows = c.pick(docs, "doc_id", "text").join(ids.hint("shuffle_merge"), F.col("doc_id") == F.col("_id"), "left")
     rows = rows.select(F.coalesce("target", F.lit(False)).alias("target"), F.col("text").cast("binary").alias("text"))
     counted = rows.mapInArrow(_count, _KINDS).groupBy("model", "chunk").applyInArrow(_add, _KINDS).toArrow()
     counts = np.zeros((2, UNIGRAMS * 2 + BIGRAMS))
