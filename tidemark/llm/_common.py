@@ -87,6 +87,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits as text, never null, of columns that may be: one key for windows and joins alike, so that
+    rows are shuffled once for both. Nulls differ from empty strings."""
+    flags = F.concat(*[F.col(x).isNull().cast("string") for x in columns])
+    return F.coalesce(F.md5(F.concat_ws("\u0001", flags, *[F.col(x).cast("string") for x in columns]).cast("binary")), F.lit(""))
+
+
 def text_hash(text: Column) -> Column:
     """Tells rows of one doc_id apart by their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -128,53 +128,51 @@ def round_pivotal(rows: DataFrame, seed: int = SEED, fan: int = FAN) -> DataFram
     return done
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each document: 0 to `most` times.
+def _decided(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's row key, time among equal rows, size and source; and for each key what its rows get.
 
-    Returns a row for each input row: doc_id, text_hash, time (1, 2, .. among rows equal in id,
-    source and text), source, size (words), source_size, target (of its source) and copies. Null
-    texts have size 0; null sources are one source, the last; null ids are ids. Documents without
-    words bring nothing to a target and are taken as often as their source's whole part says. If no
-    document has a word all targets are 0. Rows that repeat are rounded each for itself. An empty
-    table gives an empty result. Other columns are ignored.
+    Equal rows are interchangeable: of a key's rows the first `ups` are rounded up.
     """
     rows = c.pick(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", c.text_hash(F.col("text")).alias("text_hash"), size_of(F.col("text")).alias("size")
+        "doc_id", "source", c.row_key("doc_id", "source", "text").alias("row"), size_of(F.col("text")).alias("size")
     )
-    same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("text_hash")
-    rows = c.checkpointed(rows.withColumn("time", F.row_number().over(same)))
+    rows = c.checkpointed(rows.withColumn("time", F.row_number().over(Window.partitionBy("row").orderBy("row"))))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     wanted = wanted.withColumn("source_no", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     wanted = c.checkpointed(wanted.withColumnRenamed("source", "name"))
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name", "weight")
-    rows = rows.withColumn("mean", mean).withColumn("whole", F.floor("mean").cast("int"))
-    unit = F.struct("doc_id", "source", "text_hash", "time").alias("unit")
-    fractions = rows.where("size > 0").select("source_no", unit, "size", (F.col("mean") - F.col("whole")).alias("p"))
-    rounded = round_pivotal(fractions, seed).select("unit.*", "up")
-    rounded = rounded.select(*[F.col(x).alias(f"_{x}") for x in rounded.columns])
-    match = F.lit(True)
-    for x in ("doc_id", "source", "text_hash", "time"):
-        match = match & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    return rows.join(rounded, match, "left").select(
-        "doc_id", "text_hash", "time", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("_up", F.lit(0))).alias("copies")
-    )
+    meant = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name", "weight")
+    meant = meant.withColumn("mean", mean).withColumn("whole", F.floor("mean").cast("int"))
+    fractions = meant.where("size > 0").select("source_no", F.struct("row", "time").alias("unit"), "size", (F.col("mean") - F.col("whole")).alias("p"))
+    ups = round_pivotal(fractions, seed).groupBy(F.col("unit.row").alias("row")).agg(F.sum("up").alias("ups"))
+    return meant, ups
+
+
+def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """How often the mix takes each document: 0 to `most` times.
+
+    Returns a row for each input row: doc_id, source, size (words), source_size, target (of its
+    source) and copies. Null texts have size 0; null sources are one source, the last; null ids are
+    ids. Documents without words bring nothing to a target and are taken as often as their source's
+    whole part says. If no document has a word all targets are 0. Rows that repeat are rounded each
+    for itself. An empty table gives an empty result. Other columns are ignored.
+    """
+    meant, ups = _decided(docs, weights, most, seed)
+    number = F.col("whole") + (F.col("time") <= F.coalesce("ups", F.lit(0))).cast("int")
+    return meant.join(ups, "row", "left").select("doc_id", "source", "size", "source_size", "target", number.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """The mix itself: every row of docs as often as `copies` says, all its columns as they were."""
-    taken = copies(docs, weights, most, seed).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("time").alias("_time"), F.col("source").alias("_source"), "copies"
-    )
+    """The mix itself: every row of docs as often as `copies` says, all its columns as they were.
+
+    Texts are shuffled once: numbering equal rows and the join have one key.
+    """
+    meant, ups = _decided(docs, weights, most, seed)
+    keys = meant.groupBy(F.col("row").alias("__row")).agg(F.max("whole").alias("__whole"))
+    keys = keys.join(ups.withColumnRenamed("row", "__row"), "__row", "left").withColumn("__ups", F.coalesce("ups", F.lit(0))).drop("ups")
     inner, names = c.with_internal(docs, __id="doc_id", __source="source", __text="text")
-    inner = inner.withColumn("__hash", c.text_hash(F.col("__text"))).drop("__text")
-    same = Window.partitionBy("__id", "__source", "__hash").orderBy("__hash")
-    inner = inner.withColumn("__time", F.row_number().over(same))
-    match = (
-        F.col("__id").eqNullSafe(F.col("_id"))
-        & F.col("__source").eqNullSafe(F.col("_source"))
-        & (F.col("__hash") == F.col("_hash"))
-        & (F.col("__time") == F.col("_time"))
-    )
-    repeated = inner.join(taken, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return c.restore(repeated, names)
+    inner = inner.withColumn("__row", c.row_key("__id", "__source", "__text")).drop("__id", "__source", "__text")
+    inner = inner.withColumn("__time", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    number = F.col("__whole") + (F.col("__time") <= F.col("__ups")).cast("int")
+    taken = inner.join(keys, "__row").withColumn("__number", number).where("__number > 0")
+    return c.restore(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__number")))), names)

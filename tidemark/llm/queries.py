@@ -120,7 +120,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = c.pick(c.documents(spark, sf_dir), "doc_id", "text").select(
         "doc_id",
-        c.text_hash(text).alias("row"),
+        c.row_key("doc_id", "text").alias("row"),
         sharding.size_of(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )

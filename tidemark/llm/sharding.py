@@ -23,25 +23,35 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def places(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows(doc_id, row, size, ..) -> one row for each, and shard, slot.
-
-    `row` tells apart rows of one doc_id; rows equal in both are placed as one entry of the order
-    and then apart, so that however often a row repeats it is one key.
-    """
+def _line(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct (doc_id, row) in order, with times, bytes_before and rows_before; and the bytes of all."""
     rest = [x for x in rows.columns if x not in ("doc_id", "row", "size")]
     keys = rows.groupBy("doc_id", "row").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("times"), *[F.first(x).alias(x) for x in rest])
     keys = c.checkpointed(keys.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))}))
     whole = keys.agg(F.sum(F.col("size") * F.col("times"))).first()[0] or 1
     placed = running(keys, ["none", "id", "row"], bytes_before=F.col("size") * F.col("times"), rows_before=F.col("times"))
-    each = (
-        placed.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-        .withColumn("at", F.col("bytes_before") + F.col("time") * F.col("size"))
-        .withColumn("shard", F.least(F.expr(f"((2 * at + size) * {shards}) div {2 * whole}"), F.lit(shards - 1)).cast("int"))
-        .withColumn("line", F.col("rows_before") + F.col("time"))
+    return placed.drop("none", "id"), whole
+
+
+def _cut(placed: DataFrame, time: Column, whole: int, shards: int) -> DataFrame:
+    """shard and line (place in the whole) of the copy number `time`, from 0, of each key."""
+    middle = f"((2 * (bytes_before + _time * size) + size) * {shards}) div {2 * whole}"
+    return placed.withColumn("_time", time.cast("long")).withColumns(
+        {"shard": F.least(F.expr(middle), F.lit(shards - 1)).cast("int"), "line": F.col("rows_before") + F.col("_time")}
     )
+
+
+def places(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """rows(doc_id, row, size, ..) -> one row for each, and shard, slot.
+
+    `row` tells apart rows of one doc_id; rows equal in both are placed as one entry of the order
+    and then apart, so that however often a row repeats it is one key.
+    """
+    placed, whole = _line(rows)
+    each = placed.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    each = _cut(each, F.col("time"), whole, shards)
     heads = each.groupBy("shard").agg(F.min("line").alias("head"))
-    return each.join(F.broadcast(heads), "shard").withColumn("slot", F.col("line") - F.col("head"))
+    return each.join(F.broadcast(heads), "shard").withColumn("slot", F.col("line") - F.col("head"))  # a row a shard
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -53,10 +63,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     docs = docs.drop("shard", "slot")
     inner, names = c.with_internal(docs, doc_id="doc_id", text="text")
-    inner = inner.withColumn("row", c.text_hash(F.col("text")))
-    same = Window.partitionBy("doc_id", "row").orderBy("row")
-    found = places(inner.select("doc_id", "row", size_of(F.col("text")).alias("size")), shards)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), (F.col("time") + 1).alias("_time"), "shard", "slot")
-    inner = inner.withColumn("time", F.row_number().over(same)).drop("text")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")) & (F.col("time") == F.col("_time"))
-    return c.restore(inner.join(found, match), names, "shard", "slot")
+    inner = inner.withColumn("row", c.row_key("doc_id", "text"))
+    placed, whole = _line(inner.select("doc_id", "row", size_of(F.col("text")).alias("size")))
+    placed = c.checkpointed(placed.drop("doc_id"))
+    firsts = placed.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    heads = _cut(firsts, F.col("time"), whole, shards).groupBy("shard").agg(F.min("line").alias("head"))
+    inner = inner.drop("doc_id", "text").withColumn("time", F.row_number().over(Window.partitionBy("row").orderBy("row")) - 1)
+    cut = _cut(inner.join(placed, "row"), F.col("time"), whole, shards).join(F.broadcast(heads), "shard")
+    return c.restore(cut.withColumn("slot", F.col("line") - F.col("head")), names, "shard", "slot")
