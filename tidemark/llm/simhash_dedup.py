@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -53,18 +53,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash and fingerprint (signed long) of every row."""
+    """doc_id, row (a key of id and text) and fingerprint (signed long) of every row."""
     c.short_batches(docs.sparkSession)
     rows = c.pick(docs, "doc_id", "text").select(
-        "doc_id", c.text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary").alias("text")
+        "doc_id", c.row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")
     )
 
     def run(batches):
         for batch in batches:
             prints = pa.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), prints], names=["doc_id", "text_hash", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), prints], names=["doc_id", "row", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fingerprint long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row string, fingerprint long")
 
 
 def links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
@@ -94,7 +94,7 @@ def links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
 
 
 def group(docs: DataFrame, shingle: int = SHINGLE, posting: int = POSTING) -> DataFrame:
-    """doc_id, text_hash, fingerprint (signed long), root and component_id of every row.
+    """doc_id, fingerprint (signed long), root and component_id of every row.
 
     component_id is the smallest doc_id reachable by links of two bits at most, the row's own
     included; null ids count last, and it is null only if no row of the component has an id.
@@ -102,7 +102,7 @@ def group(docs: DataFrame, shingle: int = SHINGLE, posting: int = POSTING) -> Da
     equal fingerprints and so one component. An empty table gives an empty result. Other columns
     are ignored.
     """
-    rows = c.checkpointed(fingerprints(docs, shingle))
+    rows = c.checkpointed(fingerprints(docs, shingle).drop("row"))
     prints = c.checkpointed(rows.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("smallest")))
     labels = label(links(prints.select("f"), posting))
     labelled = prints.join(labels.withColumnRenamed("node", "f"), "f", "left").select(
@@ -110,20 +110,23 @@ def group(docs: DataFrame, shingle: int = SHINGLE, posting: int = POSTING) -> Da
     )
     least = labelled.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = labelled.join(least, "root").select(F.col("f").alias("fingerprint"), "root", "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "root", "component_id")
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, posting: int = POSTING) -> DataFrame:
     """The row of each component that has the smallest doc_id, all its columns as they were.
 
-    A null id comes after all others; of rows with one id the smaller text hash stays, of rows
-    equal in both any one.
+    A null id comes after all others; of rows with one id the smaller row key (a hash) stays, of
+    rows equal in id and text any one. Each fingerprint's first row is found before components are,
+    so however many copies a text has they never meet; texts are shuffled once.
     """
-    rows = group(docs, shingle, posting)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = rows.groupBy("fingerprint", "root").agg(F.min(order).alias("first")).groupBy("root").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    prints = fingerprints(docs, shingle).groupBy(F.col("fingerprint").alias("f")).agg(F.min(order).alias("first"))
+    prints = c.checkpointed(prints)
+    labels = label(links(prints.select("f"), posting)).withColumnRenamed("node", "f")
+    first = prints.join(labels, "f", "left").groupBy(F.coalesce("root", "f")).agg(F.min("first")["row"].alias("__row")).select("__row")
     inner, names = c.with_internal(docs, __id="doc_id", __text="text")
-    inner = inner.withColumn("__hash", c.text_hash(F.col("__text"))).drop("__text")
-    kept = inner.join(first, F.col("__id").eqNullSafe(F.col("_id")) & (F.col("__hash") == F.col("_hash")), "left_semi")
-    return c.restore(kept.dropDuplicates(["__id", "__hash"]), names)
+    inner = inner.withColumn("__row", c.row_key("__id", "__text")).drop("__id", "__text")
+    equal = Window.partitionBy("__row").orderBy("__row")
+    kept = inner.join(first, "__row", "left_semi").withColumn("__time", F.row_number().over(equal)).where("__time = 1")
+    return c.restore(kept, names)
