@@ -110,6 +110,7 @@ def gold(spark: SparkSession, sf: str) -> None:
             "fact_issue": facts(spark, sf),
             "dim_issue_scd2": versions(spark, sf),
         },
+        views=False,
     )
 
 
