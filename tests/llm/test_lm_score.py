@@ -80,3 +80,27 @@ def test_slots_start_each_row():
     *_, w, first = c.hashed_words(data, at, c.BLANKS)
     word, before, pair = m.slots(w, first)
     assert word[0] == word[2] and before[0] == before[2] != before[1] and pair[0] == pair[2]
+
+
+def test_more_words_than_the_least_vocabulary_stay_exact(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{i * 997 + j}" for j in range(1000))) for i in range(280)]
+    target = set(range(0, 280, 3))
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = m.score(df, m.fit(df, spark.createDataFrame([(i,) for i in target], "doc_id long"))).collect()
+    n = len({w for _, t in docs for w in words(t)})
+    assert n > m.UNIGRAMS
+    # The uniform distribution is over the words there are.
+    monkeypatch.setattr(m, "UNIFORM", m.UNIFORM / m.UNIGRAMS * n)
+    monkeypatch.setattr(m, "UNIGRAMS", n)
+    want = brute(docs, target)
+    assert len(got) == 280
+    for r in got:
+        assert np.allclose([r.target_loss, r.background_loss], want[r.doc_id], rtol=1e-9)
+
+
+def test_other_documents_than_the_models(spark):
+    docs = [(i, " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(20))) for i in range(40)]
+    df, few = (spark.createDataFrame(x, SCHEMA) for x in (docs, docs[:5]))
+    models = m.fit(df, spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long"))
+    whole = {r.doc_id: r for r in m.score(df, models).collect()}
+    assert sorted(m.score(few, models, block_bytes=200, bucket_keys=8).collect()) == sorted(whole[i] for i in range(5))
