@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import decontaminate as d
@@ -75,3 +76,20 @@ def test_other_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "q")], "doc_id long, text string, slice int, TEXT string")
     items = spark.createDataFrame([(1, "a b c d e", 5)], "item_id long, text string, slice int")
     assert d.remove(docs, items).first().asDict() == {"doc_id": 1, "text": "a b c", "slice": 5, "TEXT": "q"}
+
+
+def test_region_is_the_largest_of_all_at_the_identity():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.7, 0.8, 0.9])
+        regions = [(int(same[i:j].sum()), i - j, -i) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)]
+        equal, length, start = max(regions, default=(0, 0, 0))
+        assert d.region(same) == (-start, -start - length)
+
+
+def test_a_long_alignment_below_the_identity_keeps_its_good_region():
+    item = [f"w{i}" for i in range(46)]
+    text = [w if i % 17 < 12 else f"x{i}" for i, w in enumerate(item)]
+    index = d.Index.of([1], [" ".join(item).encode()])
+    data, at = d.c.arrow_bytes(d.pa.array([" ".join(text).encode()]))
+    assert list(index.search(*d.c.hashed_words(data, at, d.c.ALNUM)[2:])) == [(0, 0, 24, 29, 0, 0)]

@@ -3,8 +3,8 @@
 A seed is a mask over consecutive words: the marked positions are hashed, the others ignored, so a
 passage keeps most of its hashes when single words are replaced. The hashes of all test items form
 a sorted index; each document hashes all its positions under the same masks and joins them to the
-index; each hit fixes an alignment of document and item, along which words are compared and the
-best-scoring region (a match 1, a substitution -2) must be long and similar enough.
+index; each hit fixes an alignment of document and item, along which words are compared and any
+region that is long and similar enough counts.
 
 The index is broadcast in slices of at most INDEX_BYTES; a larger benchmark takes more slices, each
 a pass over the documents, and no document is shuffled. Work grows with documents times slices.
@@ -29,6 +29,7 @@ MIN_WORDS = 12
 SHARE = 0.8
 #: and at this share of equal words inside it.
 IDENTITY = 0.8
+_LOSS = round(IDENTITY / (1 - IDENTITY))
 #: Items shorter than any mask are looked up whole; under so many words they prove nothing.
 SHORTEST = 5
 INDEX_BYTES = 32 << 20
@@ -50,6 +51,28 @@ def seeds(words: np.ndarray, first: np.ndarray, mask: tuple[int, ...]) -> tuple[
     return out[where], where
 
 
+def region(same: np.ndarray) -> tuple[int, int]:
+    """Start and end of the region with the most equal words among all at IDENTITY, the shortest of those.
+
+    With a match 1 and a substitution -4, a region is at 80 % where the prefix sums don't fall from
+    its start to its end; for each start the furthest such end has the most equal words.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -_LOSS))])
+    most = np.maximum.accumulate(score[::-1])
+    end = len(same) - np.searchsorted(most, score)
+    at = np.concatenate([[0], np.cumsum(same)])
+    equal = at[end] - at
+    where = np.flatnonzero(same)
+    best = []
+    for start in np.flatnonzero(equal == equal.max()).tolist():
+        # Without the unequal words at either end.
+        own = where[at[start] : at[end[start]]]
+        if len(own):
+            best.append((int(own[-1]) + 1 - int(own[0]), int(own[0])))
+    length, start = min(best, default=(0, 0))
+    return start, start + length
+
+
 def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
     fitting = tuple(m for m in MASKS if m[-1] < length)
     return fitting or ((tuple(range(length)),) if length >= SHORTEST else ())
@@ -103,12 +126,10 @@ class Index:
         for row, item, shift in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
             mine, its = words[first[row] : first[row + 1]], self.words[self.first[item] : self.first[item + 1]]
             lo, hi = max(0, -shift), min(len(its), len(mine) - shift)
-            gain = np.concatenate([[0], np.cumsum(np.where(mine[lo + shift : hi + shift] == its[lo:hi], 1, -2))])
-            end = int(np.argmax(gain - np.minimum.accumulate(gain)))
-            start = int(np.argmin(gain[: end + 1]))
-            length = end - start
-            equal = (int(gain[end] - gain[start]) + 2 * length) // 3
-            if equal >= min(MIN_WORDS, SHARE * len(its)) and equal >= IDENTITY * length:
+            same = mine[lo + shift : hi + shift] == its[lo:hi]
+            start, end = region(same)
+            length, equal = end - start, int(same[start:end].sum())
+            if length and equal >= min(MIN_WORDS, SHARE * len(its)):
                 new = (equal, length, lo + start + shift, lo + start)
                 if new > best.get((row, item), (0, 0, 0, 0)):
                     best[row, item] = new
