@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -93,3 +94,16 @@ def test_a_long_alignment_below_the_identity_keeps_its_good_region():
     index = d.Index.of([1], [" ".join(item).encode()])
     data, at = d.c.arrow_bytes(d.pa.array([" ".join(text).encode()]))
     assert list(index.search(*d.c.hashed_words(data, at, d.c.ALNUM)[2:])) == [(0, 0, 24, 29, 0, 0)]
+
+
+@pytest.mark.parametrize("n", range(5, 18))
+def test_every_pattern_within_the_rule_is_found(n):
+    item = [f"w{i}" for i in range(n)]
+    index = d.Index.of([1], [" ".join(item).encode()])
+    need = next(k for k in range(n + 1) if k >= min(d.MIN_WORDS, d.SHARE * n) and 5 * k >= 4 * min(n, 15))
+    lost = range(1 + min(n, 15) - need)
+    texts = [[f"x{i}" if i in p else w for i, w in enumerate(item)] for k in lost for p in combinations(range(min(n, 15)), k)]
+    # The item's ends beyond the document's edges.
+    texts += [item[i : n - k + i] for k in lost for i in range(k + 1)]
+    data, at = d.c.arrow_bytes(d.pa.array([" ".join(t).encode() for t in texts]))
+    assert {row for row, *_ in index.search(*d.c.hashed_words(data, at, d.c.ALNUM)[2:])} == set(range(len(texts)))

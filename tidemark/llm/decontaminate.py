@@ -12,8 +12,10 @@ a pass over the documents, and no document is shuffled. Work grows with document
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,16 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Marked positions; weight 6, spans 8, 10 and 12.
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 9), (0, 1, 4, 6, 10, 11))
+#: Marked positions; weight 6, spans 8, 10, 12 and 13. Of 15 words with any three replaced, one mask at least fits.
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 9), (0, 1, 4, 6, 10, 11), (0, 3, 4, 8, 11, 12))
 #: A region counts from so many equal words, or so large a share of a shorter item's,
 MIN_WORDS = 12
 SHARE = 0.8
 #: and at this share of equal words inside it.
 IDENTITY = 0.8
 _LOSS = round(IDENTITY / (1 - IDENTITY))
-#: Items shorter than any mask are looked up whole; under so many words they prove nothing.
-SHORTEST = 5
+#: Items under WHOLE words have seeds of their own at fixed places; under SHORTEST they prove nothing.
+SHORTEST, WHOLE = 5, 15
 INDEX_BYTES = 32 << 20
 _BYTES_A_WORD = 16 * len(MASKS) + 8
 _ODD = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,9 +75,18 @@ def region(same: np.ndarray) -> tuple[int, int]:
     return start, start + length
 
 
-def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
-    fitting = tuple(m for m in MASKS if m[-1] < length)
-    return fitting or ((tuple(range(length)),) if length >= SHORTEST else ())
+def masks_of(length: int) -> tuple[tuple[int, tuple[int, ...]], ...]:
+    """(place in the item, mask) for an item under WHOLE words.
+
+    The item is cut into pieces; a mask marks all pieces but as many as words may be replaced, so
+    whichever words are, or lie beyond the document's edge, one mask holds none of them.
+    """
+    if not SHORTEST <= length < WHOLE:
+        return ()
+    lost = length - math.ceil(min(MIN_WORDS, SHARE * length))
+    pieces = [x.tolist() for x in np.array_split(np.arange(length), length if lost == 1 else 5)]
+    marked = [sum(x, []) for x in combinations(pieces, len(pieces) - lost)]
+    return tuple((m[0], tuple(i - m[0] for i in m)) for m in marked)
 
 
 @dataclass
@@ -95,15 +106,17 @@ class Index:
         data, at = c.arrow_bytes(pa.array(texts, pa.binary()))
         _, _, words, first = c.hashed_words(data, at, c.ALNUM)
         lengths = np.diff(first)
-        masks = sorted({m for n in set(lengths.tolist()) for m in masks_of(n)})
+        places = [(n, *x) for n in sorted(set(lengths.tolist())) for x in masks_of(n)]
+        if (lengths >= WHOLE).any():
+            places += [(None, None, m) for m in MASKS]
         parts = []
-        for m in masks:
+        for n, place, m in places:
             hashes, where = seeds(words, first, m)
             item = np.searchsorted(first, where, "right") - 1
-            if m not in MASKS:
-                own = lengths[item] == len(m)
-                hashes, where, item = hashes[own], where[own], item[own]
+            own = lengths[item] >= WHOLE if n is None else (lengths[item] == n) & (where - first[item] == place)
+            hashes, where, item = hashes[own], where[own], item[own]
             parts.append((hashes, item, where - first[item]))
+        masks = sorted({m for *_, m in places})
         hashes, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
         order = np.argsort(hashes, kind="stable")
         return Index(ids, words, first, masks, hashes[order], item[order], offset[order])
