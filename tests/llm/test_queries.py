@@ -11,3 +11,12 @@ def test_substring_dedup_equals_sql(spark, sf_dir):
     got = queries.op5_substring_dedup(spark, sf_dir)
     assert sorted(got.columns) == sorted(names)
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_topics_read_whole_texts(spark, tmp_path):
+    from tidemark import queries as engine
+
+    docs = [(i, "Same start here. " + ("alpha beta gamma " if i % 2 else "delta epsilon zeta ") * 5) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    topics = {r.issue_id % 2: r.topic_terms for r in engine.ml_topics(spark, str(tmp_path)).collect()}
+    assert "alpha" in topics[1] and "delta" in topics[0]

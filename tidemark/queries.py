@@ -624,8 +624,8 @@ def ml_precision_topk(spark, sf):
 
 @query()
 def ml_topics(spark, sf):
-    """Topics of the documents' first sentences."""
-    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("issue_id"), F.substring_index("text", ".", 1).alias("title"))
+    """Topics of the documents' whole texts."""
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("issue_id"), F.col("text").alias("title"))
     return ml.topics(rows, 4)
 
 
