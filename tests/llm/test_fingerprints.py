@@ -71,3 +71,8 @@ def test_merge_and_estimates(spark):
     row = both.select("x", f.union_of(x, y).alias("u"), f.resemblance(x, y).alias("r"), f.containment(x, y).alias("c"), f.distinct_shingles(y).alias("n")).first()
     assert merged == {"k": row.u, None: row.x, "e": []}
     assert abs(row.r - 1996 / 5996) < 0.15 and abs(row.c - 1996 / 2996) < 0.25 and abs(row.n / 4996 - 1) < 0.3
+
+
+def test_sketches_hold_128_hashes(spark):
+    df = spark.createDataFrame([(" ".join(map(str, range(300))),)], "text string")
+    assert len(f.with_sketch(df, "text", "sketch").first().sketch) == 128

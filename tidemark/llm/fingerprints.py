@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 from .ordering import before
 
-K = 96
+K = 128
 SHINGLE = 5
 SALTS = 64
 _BLANK = " \t\n\x0b\x0c\r"
