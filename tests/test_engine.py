@@ -85,13 +85,13 @@ def test_contract_drift_and_latest(spark):
 def test_rules(spark):
     rules = config.load()["service_map"]
     cases = [
-        (["@aws-cdk/aws-lambda-nodejs"], "x", "lambda"),
-        (["client-s3"], "x", "s3"),
-        ([], "DynamoDB table fails", "dynamodb"),
-        ([], "nothing here", "unknown"),
+        (["p2", "client-sqs"], "Glue crawler", "sqs"),
+        (["aws-cdk-lib/aws-apigatewayv2-integrations"], "", "apigateway"),
+        (["billing-service"], None, "billing"),
+        ([], "Aurora failover is slow", "rds"),
+        ([], "Typo in the manual", "unknown"),
         (None, None, "unknown"),
-        (["bug", "service/lambda"], "S3 bucket", "lambda"),
-        (["@aws-cdk/aws-elasticloadbalancingv2"], "x", "elb"),
+        (["service/events", "client-s3"], "a bucket", "eventbridge"),
     ]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, labels array<string>, title string")
     got = {r.i: r.s for r in df.select("i", normalize_slug(classify(rules), rules).alias("s")).collect()}
@@ -218,9 +218,8 @@ def test_run_end_to_end(spark, tmp_path, monkeypatch):
     assert all(x["records"] <= 61 for x in again["ingest"]["result"])
     assert again["gold"]["result"]["scd2"] == {"inserted_new": 0, "changed": 0, "late_ignored": 0}
     assert again["load"]["result"]["gold_fact_issue"] == 70
-    spark.table("gold_fact_issue").createOrReplaceTempView("gold_fact_issue")
-    by_range = spark.sql(marts.OPEN_BACKLOG_ASOF_WEEKLY_BY_RANGE)
-    assert sorted(map(str, by_range.collect())) == sorted(map(str, spark.table("mart_open_backlog_asof_weekly").collect()))
+    assert spark.table("tidemark.gold_fact_issue").count() == 70
+    assert sorted(map(str, spark.table("tidemark.mart_open_backlog_asof_weekly").collect())) == sorted(map(str, spark.table("mart_open_backlog_asof_weekly").collect()))
     settings = config.load()
     bad = stages.table(spark, settings, "silver.issues")
     bad.publish(bad.read().unionByName(bad.read()), "bad")
@@ -243,19 +242,65 @@ def test_stream_merges_latest(spark, tmp_path):
     assert spark.table("seen").count() == 2
 
 
-def test_as_of_forms_agree(spark, sf_dir):
+def test_only_days_asked_for_are_opened(spark, sf_dir):
     from tidemark import queries
 
-    queries.gold(spark, sf_dir)
-    by_range = spark.sql(marts.OPEN_BACKLOG_ASOF_WEEKLY_BY_RANGE).collect()
-    assert sorted(map(str, marts.mart(spark, "open_backlog_asof_weekly").collect())) == sorted(map(str, by_range)) and by_range
+    plan = queries.QUERIES["partition_prune"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ingest_date" in plan and "1999-06-01" in plan
 
 
-def test_range_join_reads_only_what_it_needs(spark, sf_dir):
-    from tidemark import queries
+def many(url):
+    """260 issues of both repositories: odd ones stay open, and the oldest of them for long."""
+    service = Service(260)
+    for i, x in enumerate(service.items):
+        x |= {"title": f"{'timeout in upload' if i % 2 else 'question about docs'} number{i % 7}"}
+        x |= {"state": "open" if i % 2 else "closed", "closed_at": None if i % 2 else TS.format(4)}
+    return service(url)
 
-    plan = queries.QUERIES["partition_prune"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan and "ReadSchema: struct<o_orderdate:timestamp_ntz>" in plan
+
+def test_scores_of_a_run_that_has_published(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("TIDEMARK_STORAGE_ROOT", str(tmp_path))
+    monkeypatch.setenv("TIDEMARK_REPOS", "o/a")
+    monkeypatch.setenv("TIDEMARK_MAX_PAGES", "50")
+    out = cli.main(["all", "--run-id", "r1", "--snapshot-at", "2025-03-01 00:00:00"], spark, many)["stages"]
+    scored = out["ml"]["result"]
+    assert (scored["topics"], scored["scored"]) == (260, 260) and scored["escalation"]["auc"] > 0.9
+    risks = stages.table(spark, config.load(), "gold.escalation_scores").read()
+    assert risks.where("escalation_risk BETWEEN 0 AND 1").count() == 260
+
+
+def test_a_failed_load_moves_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("TIDEMARK_STORAGE_ROOT", str(tmp_path))
+    settings = config.load() | {"warehouse": "tidemark_moved"}
+    with pytest.raises(ValueError, match="dim_date"):
+        stages.load(spark, settings)
+    for run, n in (("a", 3), ("b", 5)):
+        for name in marts.GOLD:
+            stages.table(spark, settings, f"gold.{name}").publish(spark.range(n), run)
+        with monkeypatch.context() as m:
+            m.setattr(marts, "MARTS", {"x": "SELECT count(*) AS n FROM gold_fact_issue"} if run == "a" else {"x": "SELECT none FROM gold_fact_issue"})
+            if run == "a":
+                assert stages.load(spark, settings)["mart_x"] == 1
+            else:
+                with pytest.raises(Exception, match="none"):
+                    stages.load(spark, settings)
+    assert spark.table("tidemark_moved.gold_fact_issue").count() == 3 and spark.table("tidemark_moved.mart_x").first().n == 3
+
+
+def test_retain_goes_by_time_not_by_name(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/t")
+    for run in ("z", "m", "a", "k"):
+        table.publish(spark.range(1), run)
+    order = {v[0]: v for v in table.versions()}
+    table.rollback(order["m"])
+    assert set(table.retain(3)) == {order["z"]} and table.current() == order["m"]
+    assert set(table.retain(2)) == {order["a"]} and set(table.versions()) == {order["k"], order["m"]}
+
+
+def test_link_header():
+    header = '<http://x/a?b=1,2&c=;>; title="rel=next"; rel="prev first", <http://x/n>; rel=next'
+    assert rest.link_of(header, "next") == "http://x/n" and rest.link_of(header, "first") == "http://x/a?b=1,2&c=;"
+    assert rest.link_of(header, "last") is None and rest.link_of("", "next") is None
 
 
 def test_first_response_exclusions(spark):

@@ -67,20 +67,6 @@ FROM spans LATERAL VIEW explode(
 GROUP BY mark, service_slug
 """
 
-# The same by a range join: what the generated form is tested against.
-OPEN_BACKLOG_ASOF_WEEKLY_BY_RANGE = """
-SELECT w.asof_ts, v.service_slug, count(*) AS open_issues_asof
-FROM (
-  SELECT DISTINCT CAST(calendar_date + 1 AS TIMESTAMP) AS asof_ts FROM gold_dim_date
-  WHERE day_of_week = 1
-    AND calendar_date BETWEEN (SELECT min(CAST(valid_from AS DATE)) FROM gold_dim_issue_scd2)
-                          AND (SELECT max(CAST(valid_from AS DATE)) FROM gold_dim_issue_scd2)
-) w
-JOIN gold_dim_issue_scd2 v ON v.valid_from <= w.asof_ts AND w.asof_ts < v.valid_to
-WHERE v.state = 'open'
-GROUP BY w.asof_ts, v.service_slug
-"""
-
 MARTS = {
     "service_health_monthly": SERVICE_HEALTH_MONTHLY,
     "backlog_by_service": BACKLOG_BY_SERVICE,
@@ -99,8 +85,13 @@ def register(spark: SparkSession, tables: dict[str, DataFrame], views: bool = Tr
             mart(spark, name).createOrReplaceTempView(f"mart_{name}")
 
 
+def mart_sql(name: str, database: str | None = None) -> str:
+    """The mart's SQL over views gold_<name>, or over the tables gold_<name> of a database."""
+    return MARTS[name].replace("gold_", f"{database}.gold_") if database else MARTS[name]
+
+
 def mart(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(MARTS[name])
+    return spark.sql(mart_sql(name))
 
 
 def approximate_health(spark: SparkSession) -> DataFrame:

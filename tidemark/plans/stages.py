@@ -36,19 +36,29 @@ def silver(spark: SparkSession, config: Config, run_id: str, full_refresh: bool
         cursor_path = f"{config['state_root']}/silver/{entity}.json"
         cursor = None if full_refresh else (files.read_json(spark, cursor_path) or {}).get("last_ingest_date")
         lines = files.read_bronze(spark, f"{config['storage_root']}/bronze/{entity}", cursor)
-        if lines is None or lines.isEmpty():
+        found = _survey(lines, contract) if lines is not None else None
+        if not found:
             report["tables"][entity] = {"new_bronze_rows": 0, "skipped": True}
             continue
-        found = lines.agg(F.count(F.lit(1)).alias("n"), F.max("ingest_date").cast("string").alias("last")).first()
-        drift = {r.key: r.n for r in contracts.drift(lines, contract).collect()}
         target = table(spark, config, f"silver.{entity}")
         merged = merge_latest(None if full_refresh else target.read(), build(lines), key, "updated_at", "_ingested_at", "_run_id")
         rows = target.publish(merged, run_id)
         files.write_json(spark, cursor_path, {"last_ingest_date": found["last"], "run_id": run_id})
-        report["tables"][entity] = {"new_bronze_rows": found["n"], "silver_rows": rows, "schema_drift_new_fields": drift}
+        report["tables"][entity] = {"new_bronze_rows": found["n"], "silver_rows": rows, "schema_drift_new_fields": found["drift"]}
     return report
 
 
+def _survey(lines: DataFrame, contract: contracts.Contract) -> dict[str, Any] | None:
+    """Rows, last day and unknown keys of a batch, all from one reading; None of an empty batch."""
+    keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
+    unknown = F.filter(keys, lambda k: ~k.isin(contract.known))
+    # Each line counts once under null, for itself, and once under each key it has too many.
+    each = lines.select("ingest_date", F.explode(F.concat(F.array(F.lit(None).cast("string")), unknown)).alias("key"))
+    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ingest_date").cast("string").alias("last")).collect()
+    whole = next((r for r in counted if r.key is None), None)
+    return whole and {"n": whole.n, "last": whole.last, "drift": {r.key: r.n for r in counted if r.key is not None}}
+
+
 def gold(spark: SparkSession, config: Config, run_id: str, snapshot_at: str | None = None, full_refresh: bool = False) -> dict[str, Any]:
     """The star schema from silver. snapshot_at (a UTC timestamp) fixes the ages; now if None."""
     issues = star.enrich(table(spark, config, "silver.issues").read(), config["service_map"])
@@ -127,7 +137,43 @@ def scores(spark: SparkSession, config: Config, run_id: str) -> dict[str, Any]:
 
 
 def load(spark: SparkSession, config: Config) -> dict[str, int]:
-    """The published gold tables and the marts as views; rows of each."""
-    tables = {name: table(spark, config, f"gold.{name}").read() for name in marts.GOLD}
-    marts.register(spark, tables)
-    return {f"gold_{n}": spark.table(f"gold_{n}").count() for n in tables} | {f"mart_{n}": spark.table(f"mart_{n}").count() for n in marts.MARTS}
+    """The published gold tables and the marts, in the session's catalog and as views of the session; rows of each.
+
+    In the database `warehouse` each gold table is an external table over its snapshot, moved to the new one by
+    its location, and each mart a view. They outlast the session where the catalog does. All snapshots must be
+    there before anything moves, and a failure moves back what had moved.
+    """
+    gold = {name: table(spark, config, f"gold.{name}") for name in marts.GOLD}
+    missing = [name for name, t in gold.items() if t.current() is None]
+    if missing:
+        raise ValueError(f"not published: {', '.join(missing)}")
+    database = config["warehouse"]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{config['storage_root']}/warehouse'")
+    moved: list[tuple[str, str]] = []
+    try:
+        for name, t in gold.items():
+            moved += _place(spark, f"{database}.gold_{name}", f"{t.path}/v={t.current()}")
+        for name in marts.MARTS:
+            spark.sql(f"CREATE OR REPLACE VIEW {database}.mart_{name} AS {marts.mart_sql(name, database)}")
+        counts = {x: spark.table(f"{database}.{x}").count() for x in [*(f"gold_{n}" for n in gold), *(f"mart_{n}" for n in marts.MARTS)]}
+    except Exception:
+        for full, old in moved:
+            _place(spark, full, old)
+        raise
+    marts.register(spark, {name: t.read() for name, t in gold.items()})
+    return counts
+
+
+def _place(spark: SparkSession, full: str, path: str) -> list[tuple[str, str]]:
+    """An external table over this folder; if there was one over another, its name and that folder."""
+    old = None
+    if spark.catalog.tableExists(full):
+        described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {full}").collect()}
+        old = described["Location"]
+        if spark.table(full).schema == spark.read.parquet(path).schema:
+            spark.sql(f"ALTER TABLE {full} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(full)
+            return [(full, old)]
+        spark.sql(f"DROP TABLE {full}")
+    spark.sql(f"CREATE TABLE {full} USING parquet LOCATION '{path}'")
+    return [(full, old)] if old else []

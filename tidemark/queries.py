@@ -267,10 +267,152 @@ def schema_drift(spark, sf):
     return contracts.drift(_envelopes(spark, sf), contracts.ISSUES)
 
 
+@query("""SELECT l_orderkey * 8 + l_linenumber AS comment_id, CASE WHEN l_orderkey % 9 = 0 THEN 'org/a#' ELSE 'org/a#' || l_orderkey END AS issue_key,
+  CAST(l_suppkey AS VARCHAR) AS author_login, CASE WHEN l_linenumber <> 6 THEN 'User' END AS author_type,
+  CASE l_returnflag WHEN 'A' THEN 'OWNER' WHEN 'R' THEN 'MEMBER' ELSE 'NONE' END AS author_association, l_returnflag IN ('A', 'R') AS is_maintainer,
+  CAST(CASE WHEN l_linenumber = 5 THEN 0 ELSE length(l_shipdate::VARCHAR) END AS INTEGER) AS body_len, CAST(l_shipdate AS DATE) AS created_on
+FROM lineitem WHERE l_orderkey % 17 <> 0""")
+def comments_contract(spark, sf):
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    stamp = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    payload = F.struct(
+        (key * 8 + line).alias("id"),
+        F.concat(F.lit("https://x/repos/org/a/"), F.when(key % 9 == 0, "pulls/").otherwise("issues/"), key.cast("string")).alias("issue_url"),
+        F.when(line != 5, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("body"),
+        F.struct(F.col("l_suppkey").cast("string").alias("login"), F.when(line != 6, "User").alias("type")).alias("user"),
+        F.when(F.col("l_returnflag") == "A", "OWNER").when(F.col("l_returnflag") == "R", "MEMBER").otherwise("NONE").alias("author_association"),
+        stamp.alias("created_at"),
+        stamp.alias("updated_at"),
+    )
+    text = F.when(key % 17 == 0, F.lit("[1, 2")).otherwise(F.to_json(payload))
+    rows = t(spark, sf, "lineitem").select(F.lit("r1").alias("_run_id"), stamp.alias("_ingested_at"), F.lit("org/a").alias("repo"), text.alias("payload"))
+    return contracts.comments(rows).select(
+        "comment_id", "issue_key", "author_login", "author_type", "author_association", "is_maintainer", "body_len", F.col("created_at").cast("date").alias("created_on")
+    )
+
+
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1999-06-01' GROUP BY 1")
 def partition_prune(spark, sf):
-    recent = t(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1999-06-01").cast("timestamp_ntz"))
-    return recent.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    """Raw lines written to folders by day (here the month's first), and those from June 1999 on read again."""
+    from .sources import files
+
+    month = F.trunc("o_orderdate", "month")
+    raw = t(spark, sf, "orders").select(
+        F.lit("r1").alias("_run_id"),
+        month.cast("string").alias("_ingested_at"),
+        F.lit("rest").alias("_source"),
+        F.concat(F.lit("org/"), "o_orderstatus").alias("repo"),
+        F.parse_json(F.to_json(F.struct(F.col("o_orderkey").alias("id")))).alias("payload"),
+        month.cast("string").alias("ingest_date"),
+    )
+    path = files.scratch(spark, "bronze")
+    files.write_lines(raw, path)
+    recent = files.read_bronze(spark, path, "1999-06-01")
+    return recent.groupBy(F.substring(F.col("ingest_date").cast("string"), 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- whole stages, run twice
+def _stages(spark, sf, gold: bool):
+    """Orders land on one day, and every third again on the next: even keys a day newer, odd ones a day older (late).
+
+    Returns the settings of a storage of its own, after both runs of silver and, if wanted, of gold.
+    """
+    from .plans import config, stages
+    from .sources import files
+
+    root = files.scratch(spark, "stages")
+    settings = config.load() | {"storage_root": root, "state_root": f"{root}/_state"}
+    orders, key = t(spark, sf, "orders"), F.col("o_orderkey")
+    for run, day, some, shift in (("r1", "2024-01-01", F.lit(True), F.lit(0)), ("r2", "2024-01-02", key % 3 == 0, F.when(key % 2 == 0, 1).otherwise(-1))):
+        stamp = F.date_format(F.col("o_orderdate") + F.make_dt_interval(days=shift), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        payload = F.struct(
+            key.alias("id"),
+            key.alias("number"),
+            F.concat(F.lit("Order of "), "o_orderpriority").alias("title"),
+            (F.when(F.col("o_orderstatus") == "F", "closed") if run == "r1" else F.lit("closed")).alias("state"),
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+            stamp.alias("updated_at"),
+            F.lit(run).alias("brand_new_field"),
+        )
+        raw = orders.where(some).select(
+            F.lit(run).alias("_run_id"),
+            F.lit(f"{day}T00:00:00Z").alias("_ingested_at"),
+            F.lit("rest").alias("_source"),
+            F.concat(F.lit("org/"), "o_orderstatus").alias("repo"),
+            F.parse_json(F.to_json(payload)).alias("payload"),
+            F.lit(day).alias("ingest_date"),
+        )
+        files.write_lines(raw, f"{root}/bronze/issues")
+        stages.silver(spark, settings, run)
+        if gold:
+            stages.gold(spark, settings, run, "2002-01-01 00:00:00")
+    return settings
+
+
+LANDED = """landed AS (SELECT o_orderkey AS k, 'org/' || o_orderstatus AS repo, 'Order of ' || o_orderpriority AS title, o_orderdate AS ts,
+  CASE o_orderstatus WHEN 'F' THEN 'closed' END AS first_state, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS newer FROM orders)"""
+
+
+@query(f"""WITH {LANDED} SELECT k AS issue_id, repo || '#' || k AS issue_key, title, CASE WHEN newer THEN 'closed' ELSE first_state END AS state,
+  CAST(ts AS DATE) AS created_on, CAST(CASE WHEN newer THEN ts + INTERVAL 1 DAY ELSE ts END AS DATE) AS updated_on, CASE WHEN newer THEN 'r2' ELSE 'r1' END AS _run_id FROM landed""")
+def stage_silver(spark, sf):
+    from .plans import stages
+
+    rows = stages.table(spark, _stages(spark, sf, gold=False), "silver.issues").read()
+    return rows.select("issue_id", "issue_key", "title", "state", F.col("created_at").cast("date").alias("created_on"), F.col("updated_at").cast("date").alias("updated_on"), "_run_id")
+
+
+@query(f"""WITH {LANDED}, moved AS (SELECT *, newer AND first_state IS NULL AS changed FROM landed)
+SELECT k AS issue_id, first_state AS state, CAST(ts AS DATE) AS from_day, CASE WHEN changed THEN CAST(ts + INTERVAL 1 DAY AS DATE) ELSE DATE '9999-12-31' END AS to_day, NOT changed AS is_current, 'r1' AS _run_id FROM moved
+UNION ALL SELECT k, 'closed', CAST(ts + INTERVAL 1 DAY AS DATE), DATE '9999-12-31', TRUE, 'r2' FROM moved WHERE changed""")
+def stage_gold_history(spark, sf):
+    from .plans import stages
+
+    rows = stages.table(spark, _stages(spark, sf, gold=True), "gold.dim_issue_scd2").read()
+    day = {x: F.col(f"valid_{x}").cast("date").alias(f"{x}_day") for x in ("from", "to")}
+    return rows.select("issue_id", "state", day["from"], day["to"], "is_current", "_run_id")
+
+
+@query(f"""WITH {LANDED} SELECT 'unknown' AS service_slug, repo, count(*) AS open_issues, count(*) AS open_awaiting_first_response,
+  round(avg(round((epoch(TIMESTAMP '2002-01-01') - epoch(ts)) / 3600, 2)) / 24, 1) AS avg_open_age_days, round(max(round((epoch(TIMESTAMP '2002-01-01') - epoch(ts)) / 3600, 2)) / 24, 1) AS oldest_open_days
+FROM landed WHERE (CASE WHEN newer THEN 'closed' ELSE coalesce(first_state, 'open') END) <> 'closed' GROUP BY repo""")
+def warehouse_load(spark, sf):
+    """Both runs of the stages, then the gold tables and marts as tables of the catalog, and one mart read from there."""
+    import uuid
+
+    from .plans import stages
+
+    settings = _stages(spark, sf, gold=True) | {"warehouse": f"tidemark_{uuid.uuid4().hex}"}
+    stages.load(spark, settings)
+    return spark.table(f"{settings['warehouse']}.mart_backlog_by_service")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def stream_latest(spark, sf):
+    """The events as a stream, merged into a snapshot table by user."""
+    from .sources import files
+    from .sources.snapshots import SnapshotTable
+    from .streaming import files as streams
+
+    rows = spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "ts")
+    root = files.scratch(spark, "stream")
+    table = SnapshotTable(spark, f"{root}/latest")
+    streams.merge_into(rows, table, "user_id", ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
+    return table.read().select("user_id", "event_id", "event_type")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_distinct(spark, sf):
+    """Each user and type once, of a stream that is deduplicated within a watermark wider than the table."""
+    from .sources import files
+    from .streaming import files as streams
+
+    rows = spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
+    rows = rows.select("user_id", "event_type", "ts", F.concat_ws(":", "user_id", "event_type").alias("key"))
+    root = files.scratch(spark, "stream")
+    sink = streams.distinct_events(rows, "key", "ts", "3650 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    sink.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("user_id", "event_type")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice >= 1000")
@@ -444,7 +586,9 @@ def min_max_avg(spark, sf):
     )
 
 
-@query()
+# Sketches of up to 10,000 values a group are exact: the smallest value with at least that share at or below it.
+@query(f"""{FACTS} SELECT strftime(created_at, '%Y-%m') AS year_month, count(*) AS issues_opened,
+  quantile_disc(hours_to_first_response, 0.5) AS median_hours_to_first_response, quantile_disc(hours_to_close, 0.5) AS median_hours_to_close FROM fact GROUP BY 1""")
 def approx_pct(spark, sf):
     gold(spark, sf)
     return marts.approximate_health(spark)
@@ -453,12 +597,10 @@ def approx_pct(spark, sf):
 # ---------------------------------------------------------------- dashboard
 def _opened(spark, sf):
     gold(spark, sf)
-    names = [r.repo for r in dashboard.repos(spark).limit(8).collect()]
-    return dashboard.opened(spark, "1997-03-01", names)
+    return dashboard.opened(spark, "1997-03-01")
 
 
-OPENED = f"""{FACTS}, opened AS (SELECT * FROM fact WHERE created_at >= DATE '1997-03-01'
-  AND repo IN (SELECT DISTINCT repo FROM cases ORDER BY 1 LIMIT 8))"""
+OPENED = f"""{FACTS}, opened AS (SELECT * FROM fact WHERE created_at >= DATE '1997-03-01')"""
 
 
 @query(f"""{OPENED} SELECT count(*) AS n, quantile_cont(hours_to_first_response, 0.5) AS ttfr, count(*) FILTER (first_response_sla_breached) / count(*) AS breach,
@@ -580,6 +722,43 @@ def dq_no_overlap(spark, sf):
     return _checked(spark, versions(spark, sf).withColumn("valid_to", longer), [{"check": "scd2_no_overlap", "key": "issue_id"}])
 
 
+@query("""SELECT * FROM (VALUES ('error', TRUE), ('warn', TRUE), ('never', FALSE), ('warnings only, error', FALSE), ('warnings only, warn', TRUE), ('unknown type', TRUE)) v(what, raised)
+UNION ALL SELECT 'silver tables: ' || (SELECT count(*) FROM orders), FALSE""")
+def dq_gate(spark, sf):
+    """What stops a run, and which tables a prefix chooses."""
+    specs = [{"check": "accepted_values", "column": "o_orderstatus", "values": ["F"], "severity": x} for x in ("error", "warn")]
+    counted = {"check": "row_count_min", "min": 1}
+    asked = []
+
+    def resolve(name):
+        asked.append(name)
+        return t(spark, sf, "orders")
+
+    results = quality.run({"silver.orders": [*specs, counted], "gold.orders": [counted]}, resolve, "silver")
+    assert asked == ["silver.orders"]
+
+    def raises(error, f, *args):
+        try:
+            f(*args)
+        except error:
+            return True
+        return False
+
+    found = [(x, raises(quality.DataQualityError, quality.gate, results, x)) for x in ("error", "warn", "never")]
+    found += [(f"warnings only, {x}", raises(quality.DataQualityError, quality.gate, results[1:], x)) for x in ("error", "warn")]
+    found.append(("unknown type", raises(ValueError, quality.evaluate, t(spark, sf, "orders"), [{"check": "none such"}], "t", resolve)))
+    found.append((f"silver tables: {int(results[2].value)}", False))
+    return spark.createDataFrame(found, "what string, raised boolean")
+
+
+@query(f"""WITH {VERSIONS}, broken AS (SELECT * REPLACE (CASE WHEN state = 'closed' AND year(valid_to) < 9999 THEN valid_to - INTERVAL 1 MINUTE ELSE valid_to END AS valid_to) FROM versions),
+  following AS (SELECT valid_to, lead(valid_from) OVER (PARTITION BY issue_id ORDER BY valid_from, valid_to) AS f FROM broken) """
+       + _dq("scd2_no_gap:issue_id", "n = 0", "n", "warn") + " FROM (SELECT count(*) AS n FROM following WHERE f > valid_to)")
+def dq_no_gap(spark, sf):
+    shorter = F.when((F.col("state") == "closed") & ~F.col("is_current"), F.col("valid_to") - F.make_dt_interval(mins=F.lit(1))).otherwise(F.col("valid_to"))
+    return _checked(spark, versions(spark, sf).withColumn("valid_to", shorter), [{"check": "scd2_no_gap", "key": "issue_id", "severity": "warn"}])
+
+
 @query("""SELECT 'ErrorChecksFailed' AS name, CAST(NULL AS VARCHAR) AS "check", CAST(1 AS DOUBLE) AS value
 UNION ALL SELECT 'CheckFailed', 'row_count_min', 0 UNION ALL SELECT 'CheckValue', 'row_count_min', count(*) FROM orders
 UNION ALL SELECT 'CheckFailed', 'accepted_values:o_orderstatus', 1 UNION ALL SELECT 'CheckValue', 'accepted_values:o_orderstatus', count(*) FILTER (o_orderstatus <> 'F') FROM orders
@@ -616,12 +795,46 @@ def ml_features(spark, sf):
     return rows.select("issue_id", "log_body_len", F.col("title_len").cast("long").alias("title_len"), "code_block")
 
 
-@query()
+@query(f"""{FACTS}, labelled AS (SELECT issue_id, floor(o_totalprice) AS risk, CASE WHEN is_closed THEN CAST(hours_to_close > 336 AS DOUBLE) WHEN open_age_hours > 336 THEN 1.0 END AS label FROM fact)
+SELECT avg(label) AS precision_top FROM (SELECT label FROM labelled WHERE label IS NOT NULL ORDER BY risk DESC, issue_id LIMIT 100)""")
 def ml_precision_topk(spark, sf):
     rows = facts(spark, sf).withColumn("label", ml.label(14)).where("label is not null").withColumn("risk", F.col("body_len") / 1e6)
     return ml.precision_top(rows, "risk", 100)
 
 
+@query(f"""{FACTS} SELECT issue_id, repo, service_slug, is_closed, hours_to_close, open_age_hours, round(ln(1 + floor(o_totalprice)), 6) AS log_body_len,
+  length('Order of ' || o_orderpriority) AS title_len, CAST(issue_id % 2 = 0 AS INTEGER) AS code_block FROM fact WHERE issue_id % 5 <> 0""")
+def ml_feature_join(spark, sf):
+    """The features of the issues that have a fact."""
+    issues = cases(spark, sf).withColumn("title", F.concat(F.lit("Order of "), F.get("labels", F.lit(0))))
+    rows = ml.features(issues, facts(spark, sf).where("issue_id % 5 <> 0")).withColumn("log_body_len", F.round("log_body_len", 6))
+    return rows.select("issue_id", "repo", "service_slug", "is_closed", "hours_to_close", "open_age_hours", "log_body_len", F.col("title_len").cast("long").alias("title_len"), "code_block")
+
+
+@query(r"""WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z][a-z0-9_-]{2,}') AS l FROM part),
+t AS (SELECT p_partkey, unnest(list_concat(l, list_transform(generate_series(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1]))) AS term FROM w)
+SELECT term, count(DISTINCT p_partkey) AS n FROM t GROUP BY 1""")
+def ml_terms(spark, sf):
+    """How many part names hold each word and each pair of words."""
+    return ml.document_frequency(t(spark, sf, "part").select(F.col("p_name").alias("title")))
+
+
+@query("SELECT * FROM (VALUES (59, FALSE, FALSE), (60, TRUE, FALSE), (199, TRUE, FALSE), (200, TRUE, TRUE)) v(n, topics, risks)")
+def ml_gates(spark, sf):
+    """From how many issues on topics and risks are made."""
+    found = []
+    for n in (59, 60, 199, 200):
+        own = F.col("id")
+        rows = spark.range(n).select(
+            own.alias("issue_id"), F.lit("o/a").alias("repo"), F.when(own % 2 == 0, "alpha beta gamma").otherwise("delta omega sigma").alias("title"),
+            F.lit("s3").alias("service_slug"), F.lit("NONE").alias("author_association"), F.timestamp_seconds(own).alias("created_at"),
+            F.lit(True).alias("is_closed"), F.when(own % 2 == 0, 1.0).otherwise(1000.0).alias("hours_to_close"), F.lit(None).cast("double").alias("open_age_hours"),
+            own.alias("body_len"), F.lit(False).alias("has_code_block"),
+        ).withColumns(ml.numeric())
+        found.append((n, ml.topics(rows, 2) is not None, ml.escalation(rows, 14) is not None))
+    return spark.createDataFrame(found, "n int, topics boolean, risks boolean")
+
+
 @query()
 def ml_topics(spark, sf):
     """Topics of the documents' whole texts."""
@@ -694,11 +907,14 @@ def scalar_math(spark, sf):
     )
 
 
-@query("""SELECT o_orderkey, sha256(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, '∅') || '||' || o_orderpriority || '||' || o_custkey) AS attr_hash, TRUE AS key_ok FROM orders""")
+# The key of 'tidemark' is XXH64 with seed 42 without its sign bit, taken from another library. Fixed value.
+@query("""SELECT o_orderkey, sha256(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, '∅') || '||' || o_orderpriority || '||' || o_custkey) AS attr_hash,
+  (SELECT count(DISTINCT o_orderkey) FROM orders) AS n_keys, TRUE AS positive, 1214682197006892788 AS known FROM orders""")
 def scalar_hash(spark, sf):
     rows = t(spark, sf, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
-    key = surrogate("o_orderkey")
-    return rows.select("o_orderkey", attribute_hash("status", "o_orderpriority", "o_custkey").alias("attr_hash"), ((key >= 0) & (key == surrogate("o_orderkey"))).alias("key_ok"))
+    keys = rows.agg(F.countDistinct(surrogate("o_orderkey")).alias("n_keys"), (F.min(surrogate("o_orderkey")) >= 0).alias("positive"))  # one row
+    hashed = rows.select("o_orderkey", attribute_hash("status", "o_orderpriority", "o_custkey").alias("attr_hash"))
+    return hashed.crossJoin(keys).withColumn("known", surrogate(F.lit("tidemark")))
 
 
 @query("""SELECT o_orderkey, array_to_string(list_sort(l), ',') AS sorted, CAST(len(l) AS INTEGER) AS n, list_contains(l, 'F') AS has_f, l[2] AS second,

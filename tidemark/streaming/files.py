@@ -26,10 +26,14 @@ def windowed_counts(rows: DataFrame, stamp: str, width: str, delay: str, *keys:
     return timed.groupBy(F.window(stamp, width), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_into(rows: DataFrame, table: SnapshotTable, key: str, order: list[str], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged latest-wins and published. Replaying a batch changes nothing, so delivery may repeat."""
+def merge_into(rows: DataFrame, table: SnapshotTable, key: str, order: list[str], checkpoint: str, keep: int = 3) -> StreamingQuery:
+    """Each micro-batch is merged latest-wins and published. Replaying a batch changes nothing, so delivery may repeat.
+
+    The last `keep` snapshots stay for readers that have begun on one.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         table.publish(merge_latest(table.read(), batch, key, *order), f"batch{number}")
+        table.retain(keep)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
