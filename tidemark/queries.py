@@ -329,7 +329,7 @@ def _stages(spark, sf, gold: bool):
             key.alias("id"),
             key.alias("number"),
             F.concat(F.lit("Order of "), "o_orderpriority").alias("title"),
-            (F.when(F.col("o_orderstatus") == "F", "closed") if run == "r1" else F.lit("closed")).alias("state"),
+            (F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open") if run == "r1" else F.lit("closed")).alias("state"),
             F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
             stamp.alias("updated_at"),
             F.lit(run).alias("brand_new_field"),
@@ -350,7 +350,7 @@ def _stages(spark, sf, gold: bool):
 
 
 LANDED = """landed AS (SELECT o_orderkey AS k, 'org/' || o_orderstatus AS repo, 'Order of ' || o_orderpriority AS title, o_orderdate AS ts,
-  CASE o_orderstatus WHEN 'F' THEN 'closed' END AS first_state, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS newer FROM orders)"""
+  CASE o_orderstatus WHEN 'F' THEN 'closed' ELSE 'open' END AS first_state, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS newer FROM orders)"""
 
 
 @query(f"""WITH {LANDED} SELECT k AS issue_id, repo || '#' || k AS issue_key, title, CASE WHEN newer THEN 'closed' ELSE first_state END AS state,
@@ -362,7 +362,7 @@ def stage_silver(spark, sf):
     return rows.select("issue_id", "issue_key", "title", "state", F.col("created_at").cast("date").alias("created_on"), F.col("updated_at").cast("date").alias("updated_on"), "_run_id")
 
 
-@query(f"""WITH {LANDED}, moved AS (SELECT *, newer AND first_state IS NULL AS changed FROM landed)
+@query(f"""WITH {LANDED}, moved AS (SELECT *, newer AND first_state = 'open' AS changed FROM landed)
 SELECT k AS issue_id, first_state AS state, CAST(ts AS DATE) AS from_day, CASE WHEN changed THEN CAST(ts + INTERVAL 1 DAY AS DATE) ELSE DATE '9999-12-31' END AS to_day, NOT changed AS is_current, 'r1' AS _run_id FROM moved
 UNION ALL SELECT k, 'closed', CAST(ts + INTERVAL 1 DAY AS DATE), DATE '9999-12-31', TRUE, 'r2' FROM moved WHERE changed""")
 def stage_gold_history(spark, sf):
@@ -375,7 +375,7 @@ def stage_gold_history(spark, sf):
 
 @query(f"""WITH {LANDED} SELECT 'unknown' AS service_slug, repo, count(*) AS open_issues, count(*) AS open_awaiting_first_response,
   round(avg(round((epoch(TIMESTAMP '2002-01-01') - epoch(ts)) / 3600, 2)) / 24, 1) AS avg_open_age_days, round(max(round((epoch(TIMESTAMP '2002-01-01') - epoch(ts)) / 3600, 2)) / 24, 1) AS oldest_open_days
-FROM landed WHERE (CASE WHEN newer THEN 'closed' ELSE coalesce(first_state, 'open') END) <> 'closed' GROUP BY repo""")
+FROM landed WHERE NOT newer AND first_state = 'open' GROUP BY repo""")
 def warehouse_load(spark, sf):
     """Both runs of the stages, then the gold tables and marts as tables of the catalog, and one mart read from there."""
     import uuid
@@ -387,15 +387,22 @@ def warehouse_load(spark, sf):
     return spark.table(f"{settings['warehouse']}.mart_backlog_by_service")
 
 
+def _event_stream(spark, sf):
+    """All events as a stream of two batches, out of order, and a folder for the rest."""
+    from .sources import files
+
+    root, events = files.scratch(spark, "stream"), t(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    events.repartition(4, "event_id").write.parquet(f"{root}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"), root
+
+
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def stream_latest(spark, sf):
     """The events as a stream, merged into a snapshot table by user."""
-    from .sources import files
     from .sources.snapshots import SnapshotTable
     from .streaming import files as streams
 
-    rows = spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "ts")
-    root = files.scratch(spark, "stream")
+    rows, root = _event_stream(spark, sf)
     table = SnapshotTable(spark, f"{root}/latest")
     streams.merge_into(rows, table, "user_id", ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
     return table.read().select("user_id", "event_id", "event_type")
@@ -404,12 +411,10 @@ def stream_latest(spark, sf):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(spark, sf):
     """Each user and type once, of a stream that is deduplicated within a watermark wider than the table."""
-    from .sources import files
     from .streaming import files as streams
 
-    rows = spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
-    rows = rows.select("user_id", "event_type", "ts", F.concat_ws(":", "user_id", "event_type").alias("key"))
-    root = files.scratch(spark, "stream")
+    rows, root = _event_stream(spark, sf)
+    rows = rows.withColumn("key", F.concat_ws(":", "user_id", "event_type"))
     sink = streams.distinct_events(rows, "key", "ts", "3650 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
     sink.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("user_id", "event_type")
@@ -825,7 +830,7 @@ def ml_gates(spark, sf):
     found = []
     for n in (59, 60, 199, 200):
         own = F.col("id")
-        rows = spark.range(n).select(
+        rows = spark.range(0, n, 1, 1).select(
             own.alias("issue_id"), F.lit("o/a").alias("repo"), F.when(own % 2 == 0, "alpha beta gamma").otherwise("delta omega sigma").alias("title"),
             F.lit("s3").alias("service_slug"), F.lit("NONE").alias("author_association"), F.timestamp_seconds(own).alias("created_at"),
             F.lit(True).alias("is_closed"), F.when(own % 2 == 0, 1.0).otherwise(1000.0).alias("hours_to_close"), F.lit(None).cast("double").alias("open_age_hours"),
