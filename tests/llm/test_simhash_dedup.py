@@ -1,9 +1,12 @@
 import random
 import re
+from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 
+from tidemark.llm import queries, xxh64
 from tidemark.llm import simhash_dedup as s
 from tidemark.llm.components import label
 
@@ -75,12 +78,53 @@ def test_links_keep_components(spark, posting):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
 
 
-def test_components_of_a_long_chain(spark):
-    n = 300
-    order = list(range(n))
-    random.Random(5).shuffle(order)
-    df = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(7, 7)], "a long, b long")
-    assert {r.root for r in label(df).collect()} == {0}
+@pytest.mark.parametrize("order", ["rising", "shuffled"])
+def test_components_of_a_long_chain(spark, order):
+    n, rounds = 1000, []
+    chain = list(range(n))
+    if order == "shuffled":
+        random.Random(5).shuffle(chain)
+    df = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)) + [(7, 7)], "a long, b long")
+    assert {r.root for r in label(df, rounds).collect()} == {0}
+    # Nodes halve every two rounds, paths with every jump.
+    assert len(rounds) <= 2 * 10 and sum(rounds) <= (12 if order == "rising" else 40)
+
+
+def test_components_of_hubs(spark):
+    """Stars whose hub is the largest, hubs in a row: each hub's leaves meet in the second round."""
+    links, rounds = [], []
+    for h in range(20):
+        links += [(10_000 + h, 100 * h + leaf) for leaf in range(30)] + [(10_000 + h, 100 * (h + 1))] * (h < 19)
+    assert {r.root for r in label(spark.createDataFrame(links, "a long, b long"), rounds).collect()} == {0}
+    assert sum(rounds) <= 12
+
+
+def test_hashes_equal_the_library():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3000, dtype=np.uint8)
+    starts = rng.integers(0, 2500, 4000)
+    ends = starts + rng.integers(0, 300, 4000)
+    want = [xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) for a, b in zip(starts, ends, strict=True)]
+    assert xxh64.hashes(data, starts, ends, 42).tolist() == want
+    assert xxh64.hashes(data[:0], starts[:0], ends[:0], 42).tolist() == []
+
+
+def test_a_list_tells_which_positions_are_shared():
+    for n in range(9):
+        for shared in map(set, combinations(range(8), n)):
+            told = set().union(*[x for x in s.LISTS if set(x) <= shared])
+            assert (len(told) >= 6) == (n >= 6) and (n < 6 or told == shared)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    prints = {d: brute_print(text) for d, text in rows}
+    root = brute_components(set(prints.values()))
+    least = {}
+    for d, p in prints.items():
+        least[root[p]] = min(least.get(root[p], d), d)
+    got = queries.op7_simhash_dedup(spark, sf_dir).collect()
+    assert sorted(tuple(r) for r in got) == sorted((d, format(p, "016x"), least[root[p]]) for d, p in prints.items())
 
 
 def test_other_columns_stay(spark):

@@ -3,53 +3,83 @@
 A fingerprint of 64 bits is eight bytes. Two that differ in at most two bits agree in at least six
 byte positions, so pairs sharing fewer positional bytes can't link. A posting list of one positional
 byte would hold 1/256 of all fingerprints, and its pairs would grow with the square of the corpus;
-the index key is therefore four positional bytes at once. Two differing bytes spoil at most two of
-the four pairs of neighbouring bytes, so every linked pair shares the key of one of the six ways to
-choose two of the four. Pairs from a posting list have their shared positional bytes tallied, those
-with six or more are kept, and their bits are compared.
-
-Equal fingerprints are one entry of the index, however many documents have them. A posting list
-longer than POSTING (a crowd of near copies) makes no pairs: its members go by the midpoint rule.
-Two fingerprints lie within two bits exactly if some value lies within one bit of both, so each
-member is entered under itself and its 64 one-bit changes, and linked to the smallest entry there:
-65 rows a member, all of them true links, and no link's ends apart.
+a list therefore holds the fingerprints that agree in four positions at once, and fourteen sets of
+four are chosen so that the lists a pair meets in tell exactly which positions it shares, if they are
+six or more (LISTS). These positions are tallied over a pair's lists, pairs with the guaranteed six
+are retained, and their bits compared.
+
+Equal fingerprints are one entry of the index, however many documents have them. A list longer than
+POSTING (a crowd of near copies) makes no pairs, as they would grow with its square. Its members go
+by the midpoint rule as well, an exact way that stands for all pairs they would make: two
+fingerprints lie within two bits exactly if some value lies within one bit of both, so each member
+is entered under itself and its 64 one-bit changes, and linked to the smallest entry there: 65 rows
+a member, all of them true links, and no link's ends apart.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
+from . import xxh64
 from .components import label
 
 SHINGLE = 3
 BITS = 2
 POSTING = 32
+SEED = 42
 _CHUNK = 1 << 15
-
-
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The signed 64 bits of a text's SimHash; no words: 0; fewer than a shingle: all of them as one."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
-    for i in range(0, n, _CHUNK):
-        part = hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+_PIECE = 4 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with every text's words in lower case, a space apart; starts and ends of the shingles in them; and how
+    many of these each text has: one of all its words if they are fewer than k, none without words."""
+    starts, ends, first = c.word_spans(data, at, c.BLANKS)
+    lengths = ends - starts
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    spaced = np.full(len(starts) + int(lengths.sum()), 32, np.uint8)
+    letters = np.ones(len(spaced), bool)
+    letters[ends] = False
+    spaced[letters] = _LOWER[data[c.BLANKS[data]]]
+    n = np.diff(first)
+    times = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+    own = np.repeat(first[:-1] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    last = np.minimum(own + k, np.repeat(first[1:], times)) - 1
+    return spaced, starts[own], ends[last], times
+
+
+def majority(hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Of each run of hashes the bits that over half of them have, signed; 0 of an empty run."""
+    ones = np.zeros((len(times), 64), np.int64)
+    owner = np.repeat(np.arange(len(times)), times)
+    for i in range(0, len(hashes), _CHUNK):
+        # A byte a bit, eight of them added as one number, in runs too short to overflow a byte.
+        bits = np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        own = owner[i : i + _CHUNK]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        runs = np.unique(np.concatenate([heads, np.arange(0, len(own), 255)]))
+        sums = np.add.reduceat(bits, runs, axis=0).view(np.uint8).reshape(-1, 64)
+        np.add.at(ones, own[runs], sums)
+    return np.packbits(ones * 2 > times[:, None], axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+
+def simhashes(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """The signed 64 bits of each text's SimHash, some megabytes of text at a time."""
+    parts = [np.empty(0, np.int64)]
+    for i, j in c.pieces(at, _PIECE):
+        spaced, starts, ends, times = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], k)
+        parts.append(majority(xxh64.hashes(spaced, starts, ends, SEED), times))
+    return np.concatenate(parts)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -61,29 +91,35 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            prints = pa.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], pa.int64())
+            prints = pa.array(simhashes(*c.arrow_bytes(batch.column("text")), shingle), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), prints], names=["doc_id", "row", "fingerprint"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row string, fingerprint long")
 
 
+#: The posting lists: four of the eight byte positions each, all sets whose numbers XOR to 0. Any three positions lie
+#: in exactly one of the fourteen, so two fingerprints that share six positions share three lists (seven: seven),
+#: which together hold exactly the shared positions; sharing five they share one list.
+LISTS = tuple(x for x in combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0)
+
+
 def links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
     """From distinct fingerprints f: links (a, b) whose components are those of all pairs within two bits."""
-    two = [F.shiftright("f", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = F.array(
-        *[
-            F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(two[i], 16)).bitwiseOR(two[j])
-            for n, (i, j) in enumerate(combinations(range(4), 2))
-        ]
-    )
-    index = prints.select("f", F.explode(keys).alias("key"))
-    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = c.checkpointed(index.join(lists, "key"))
+    byte = [F.shiftrightunsigned("f", 8 * i).bitwiseAND(F.lit(0xFF)) for i in range(8)]
+    entries = [
+        F.struct(
+            F.lit(sum(1 << i for i in places)).cast("short").alias("places"),
+            reduce(lambda value, i: F.shiftleft(value, 8).bitwiseOR(byte[i]), places, F.lit(0).cast("long")).alias("bytes"),
+        )
+        for places in LISTS
+    ]
+    index = prints.select("f", F.explode(F.array(*entries)).alias("key")).select("f", "key.places", "key.bytes")
+    lists = index.groupBy("places", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    index = c.checkpointed(index.join(lists, ["places", "bytes"]))
     short = index.where(F.col("n") <= posting)
-    pairs = short.select("key", F.col("f").alias("a")).join(short.select("key", F.col("f").alias("b")), "key").where("a < b")
-    differing = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftright(differing, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8))
-    close = pairs.where(shared >= 8 - BITS).where(F.bit_count(differing) <= BITS).select("a", "b")
+    pairs = short.select("places", "bytes", F.col("f").alias("a")).join(short.select("places", "bytes", F.col("f").alias("b")), ["places", "bytes"]).where("a < b")
+    tally = pairs.groupBy("a", "b").agg(F.bit_count(F.bit_or("places")).alias("shared"))
+    close = tally.where(F.col("shared") >= 8 - BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     crowd = index.where(F.col("n") > posting).select("f").distinct()
     changes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
     near = crowd.select("f", F.explode(F.concat(F.array(F.lit(0).cast("long")), changes)).alias("change")).select(
