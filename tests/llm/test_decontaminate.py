@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate as d
@@ -56,7 +57,7 @@ def test_against_all_alignments(spark, planted):
 def test_slices_change_nothing(spark, planted, monkeypatch):
     docs, items = (spark.createDataFrame(x, y) for x, y in zip(planted, (DOCS, ITEMS), strict=True))
     whole = sorted(d.overlaps(docs, items).collect())
-    monkeypatch.setattr(d, "INDEX_BYTES", 3000)
+    monkeypatch.setattr(d, "INDEX_BYTES", 20_000)
     assert len(list(d.slices(items))) > 2
     assert sorted(d.overlaps(docs, items).collect()) == whole
     assert d.remove(docs, items).count() == 60 - len({r.doc_id for r in whole})
@@ -107,3 +108,75 @@ def test_every_pattern_within_the_rule_is_found(n):
     texts += [item[i : n - k + i] for k in lost for i in range(k + 1)]
     data, at = d.c.arrow_bytes(d.pa.array([" ".join(t).encode() for t in texts]))
     assert {row for row, *_ in index.search(*d.c.hashed_words(data, at, d.c.ALNUM)[2:])} == set(range(len(texts)))
+
+
+def brute_pairs(docs, items):
+    """All pairs with a region that meets the rule, by trying every region of every alignment with enough equal words."""
+    out = set()
+    numbers = {}
+    coded = [[(k, np.array([numbers.setdefault(w, len(numbers)) for w in words(t)])) for k, t in rows] for rows in (docs, items)]
+    for i, b in coded[1]:
+        need = min(d.MIN_WORDS, d.SHARE * len(b))
+        for k, a in coded[0]:
+            if len(b) < d.SHORTEST or not len(a):
+                continue
+            equal = a[:, None] == b[None, :]
+            shift = np.arange(len(a))[:, None] - np.arange(len(b))[None, :] + len(b)
+            counts = np.bincount(shift.ravel(), equal.ravel(), len(a) + len(b) + 1)
+            for s in np.flatnonzero(counts >= need) - len(b):
+                lo, hi = max(0, -s), min(len(b), len(a) - s)
+                sums = np.concatenate([[0], np.cumsum(a[lo + s : hi + s] == b[lo:hi])])
+                n, length = sums[None, :] - sums[:, None], np.arange(len(sums))[None, :] - np.arange(len(sums))[:, None]
+                if ((length > 0) & (n >= need) & (n >= d.IDENTITY * length - 1e-9)).any():
+                    out.add((k, i))
+                    break
+    return out
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    from tidemark.llm import queries
+
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf_dir}/{n}.parquet").select(k, "text").collect()] for n, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, sf_dir).collect()}
+    assert got == brute_pairs(docs, items) and got
+
+
+def hashed(*texts):
+    from tidemark.llm import _common as c
+
+    data, at = c.arrow_bytes(pa.array([t.encode() for t in texts], pa.binary()))
+    return c.hashed_words(data, at, c.ALNUM)[2:]
+
+
+def test_repetitive_texts_equal_all_alignments():
+    rng = random.Random(8)
+    for _ in range(150):
+        few = "ab" if rng.random() < 0.5 else "abc"
+        period = [rng.choice(few) for _ in range(rng.randrange(1, 4))]
+        text = [rng.choice(few) if rng.random() < 0.15 else period[i % len(period)] for i in range(rng.randrange(8, 60))]
+        item = [rng.choice(few) if rng.random() < 0.1 else period[i % len(period)] for i in range(rng.randrange(5, 30))]
+        index = d.Index.of([0], [" ".join(item).encode()])
+        found = list(index.search(*hashed(" ".join(text))))
+        best = (0, 0)
+        for shift in range(-len(item) + 1, len(text)):
+            lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+            same = np.array([text[i + shift] == item[i] for i in range(lo, hi)])
+            start, end = d.region(same)
+            if end > start and same[start:end].sum() >= min(d.MIN_WORDS, d.SHARE * len(item)):
+                best = max(best, (int(same[start:end].sum()), start - end))
+        # Of alignments without a hit none can be the best: they have no run of equal words, and the best of these has.
+        assert [(x[2], -x[3]) for x in found] == ([best] if best[0] else []), (text, item)
+
+
+def test_equal_words_take_bounded_work():
+    import time
+    import tracemalloc
+
+    index = d.Index.of([0], [b"la " * 800])
+    words, first = hashed("la " * 8000)
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert list(index.search(words, first)) == [(0, 0, 800, 800, 0, 0)]
+    seconds, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seconds < 1 and most < 200 << 20

@@ -6,6 +6,10 @@ a sorted index; each document hashes all its positions under the same masks and
 index; each hit fixes an alignment of document and item, along which words are compared and any
 region that is long and similar enough counts.
 
+Hits are taken once a run: where a hit follows another on its alignment, the first one tells it. Texts
+that repeat few words would otherwise hit at every place of both sides. Alignments are at most as
+many as both have words, and are judged from the one with the most equal words on.
+
 The index is broadcast in slices of at most INDEX_BYTES; a larger benchmark takes more slices, each
 a pass over the documents, and no document is shuffled. Work grows with documents times slices.
 """
@@ -34,8 +38,10 @@ IDENTITY = 0.8
 _LOSS = round(IDENTITY / (1 - IDENTITY))
 #: Items under WHOLE words have seeds of their own at fixed places; under SHORTEST they prove nothing.
 SHORTEST, WHOLE = 5, 15
-INDEX_BYTES = 32 << 20
-_BYTES_A_WORD = 16 * len(MASKS) + 8
+INDEX_BYTES = 64 << 20
+_BYTES_A_WORD = 56 * len(MASKS) + 8
+#: Hits looked at together.
+_HITS = 1 << 20
 _ODD = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,17 +95,33 @@ def masks_of(length: int) -> tuple[tuple[int, tuple[int, ...]], ...]:
     return tuple((m[0], tuple(i - m[0] for i in m)) for m in marked)
 
 
+def _preceding(hashes: np.ndarray, where: np.ndarray, none: int) -> np.ndarray:
+    """The hash at the place just before each, `none` if that place has none."""
+    out = np.full(len(hashes), none, np.uint64)
+    follows = np.flatnonzero(where[1:] == where[:-1] + 1) + 1
+    out[follows] = hashes[follows - 1]
+    return out
+
+
+def _expanded(lo: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, .. of each, `times` of them."""
+    return np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
 @dataclass
 class Index:
-    """A slice of the test items: their words, and their seeds' hashes in order."""
+    """A slice of the test items: their words, and their seeds in order of hash and of the hash before."""
 
     ids: list
     words: np.ndarray
     first: np.ndarray
     masks: list[tuple[int, ...]]
-    hashes: np.ndarray
     item: np.ndarray
     offset: np.ndarray
+    #: Seeds alike in both hashes are a group: its hash, the hash before, and where its seeds begin (one more at the end).
+    hashes: np.ndarray
+    before: np.ndarray
+    group: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: list[bytes | None]) -> Index:
@@ -109,45 +131,75 @@ class Index:
         places = [(n, *x) for n in sorted(set(lengths.tolist())) for x in masks_of(n)]
         if (lengths >= WHOLE).any():
             places += [(None, None, m) for m in MASKS]
-        parts = []
+        parts = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
         for n, place, m in places:
             hashes, where = seeds(words, first, m)
             item = np.searchsorted(first, where, "right") - 1
             own = lengths[item] >= WHOLE if n is None else (lengths[item] == n) & (where - first[item] == place)
             hashes, where, item = hashes[own], where[own], item[own]
-            parts.append((hashes, item, where - first[item]))
+            parts.append((hashes, _preceding(hashes, where, 0), item, where - first[item]))
         masks = sorted({m for *_, m in places})
-        hashes, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
-        order = np.argsort(hashes, kind="stable")
-        return Index(ids, words, first, masks, hashes[order], item[order], offset[order])
-
-    def search(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(row, item, equal words, region's length, its start in the row, in the item): the best of each pair."""
-        found = []
+        hashes, before, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((before, hashes))
+        hashes, before = hashes[order], before[order]
+        new = np.flatnonzero((np.diff(hashes, prepend=hashes[:1]) != 0) | (np.diff(before, prepend=before[:1]) != 0))
+        head = np.concatenate([[0], new]) if len(hashes) else new
+        return Index(ids, words, first, masks, item[order].astype(np.int32), offset[order].astype(np.int32), hashes[head], before[head], np.append(head, len(hashes)))
+
+    def alignments(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(row, item, shift of the item's start in the row) of every alignment with a hit, in order."""
+        longest = int(np.diff(self.first).max(initial=0))
+        span = longest + int(np.diff(first).max(initial=0)) + 1
+        keys = np.empty(0, np.int64)
         for m in self.masks:
             hashes, where = seeds(words, first, m)
+            before = _preceding(hashes, where, 1)
             lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
             hit = np.flatnonzero(hi > lo)
-            times = (hi - lo)[hit]
-            entry = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            place = np.repeat(where[hit], times)
-            row = np.searchsorted(first, place, "right") - 1
-            found.append(np.stack([row, self.item[entry], place - first[row] - self.offset[entry]]))
-        if not found:
-            return
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for row, item, shift in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-            mine, its = words[first[row] : first[row + 1]], self.words[self.first[item] : self.first[item + 1]]
-            lo, hi = max(0, -shift), min(len(its), len(mine) - shift)
-            same = mine[lo + shift : hi + shift] == its[lo:hi]
-            start, end = region(same)
-            length, equal = end - start, int(same[start:end].sum())
-            if length and equal >= min(MIN_WORDS, SHARE * len(its)):
-                new = (equal, length, lo + start + shift, lo + start)
-                if new > best.get((row, item), (0, 0, 0, 0)):
-                    best[row, item] = new
-        for (row, item), values in best.items():
-            yield row, item, *values
+            seed, group = np.repeat(hit, (hi - lo)[hit]), _expanded(lo[hit], (hi - lo)[hit])
+            starts = self.before[group] != before[seed]
+            seed, group = seed[starts], group[starts]
+            size = self.group[group + 1] - self.group[group]
+            row = np.searchsorted(first, where[seed], "right") - 1
+            for i, j in c.pieces(np.concatenate([[0], np.cumsum(size)]), _HITS):
+                entry, times = _expanded(self.group[group[i:j]], size[i:j]), size[i:j]
+                own = np.repeat(row[i:j], times)
+                shift = np.repeat(where[seed[i:j]], times) - first[own] - self.offset[entry]
+                keys = np.union1d(keys, (own * len(self.ids) + self.item[entry]) * span + shift + longest)
+        pair, shift = np.divmod(keys, span)
+        return np.stack([*np.divmod(pair, max(1, len(self.ids))), shift - longest])
+
+    def search(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(row, item, equal words, region's length, its start in the row, in the item): the best of each pair.
+
+        The best has the most equal words, then is the shortest, then starts the item the furthest left in the row.
+        """
+        rows, items, shifts = self.alignments(words, first)
+        edges = np.flatnonzero((np.diff(rows, prepend=-1, append=-1) != 0) | (np.diff(items, prepend=-1, append=-1) != 0))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            row, item = int(rows[i]), int(items[i])
+            found = _best(words[first[row] : first[row + 1]], self.words[self.first[item] : self.first[item + 1]], shifts[i:j].tolist())
+            if found:
+                yield row, item, *found
+
+
+def _best(mine: np.ndarray, its: np.ndarray, shifts: list[int]) -> tuple[int, int, int, int] | None:
+    need, open_ = min(MIN_WORDS, SHARE * len(its)), []
+    for shift in shifts:
+        lo, hi = max(0, -shift), min(len(its), len(mine) - shift)
+        equal = int(np.count_nonzero(mine[lo + shift : hi + shift] == its[lo:hi]))
+        if equal >= need:
+            open_.append((-equal, shift, lo, hi))
+    best = None
+    for most, shift, lo, hi in sorted(open_):
+        if best and (best[0], -best[1]) >= (-most, most):
+            break  # no region of this alignment, or of one after it, can be better
+        same = mine[lo + shift : hi + shift] == its[lo:hi]
+        start, end = region(same)
+        length, equal = end - start, int(same[start:end].sum())
+        if length and equal >= need and (best is None or (equal, -length) > (best[0], -best[1])):
+            best = (equal, length, lo + start + shift, lo + start)
+    return best
 
 
 def slices(benchmark: DataFrame) -> Iterator[Index]:
