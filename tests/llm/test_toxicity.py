@@ -66,3 +66,57 @@ def test_edges(spark):
     assert t.remove(wide, model).first().asDict() == {"doc_id": 1, "text": "a", "score": 5.0, "TEXT": "q"}
     known = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     assert all(0 <= r.score <= 1 for r in t.score(df, t.fit(df, known)).collect())
+
+
+def test_a_text_too_long_for_the_sample_is_passed_over(spark):
+    docs, labels = planted()
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = t.fit(spark.createDataFrame(docs, SCHEMA), known)
+    # Of all ids tried, one that the sample's order puts first.
+    ids = spark.createDataFrame([(i,) for i in range(1000, 5000)], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]
+    held = spark.createDataFrame(labels + [(ids, 0)], "doc_id long, toxic int")
+    long = spark.createDataFrame([*docs, (ids, "long text. " * 30_000)], SCHEMA)
+    model = t.fit(long, held, most_bytes=sum(len(x) for _, x in docs) + 100)
+    assert model.hashes.tolist() == plain.hashes.tolist() and np.allclose(model.weights, plain.weights, atol=0.05)
+    assert t._fitting([5, 100, 3, 2, 1], 9) == [True, False, True, False, True]
+
+
+def test_a_model_without_words_removes_nothing(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], SCHEMA)
+    model = t.fit(df, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert model.leak == 1.0 and t.remove(df, model).count() == 3
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Columns of the query, each score from the fitted weights by a plain noisy-or over sentences."""
+    import re
+
+    from tidemark.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = t.fit(docs, labels.where(~t.held_out(F.col("doc_id"))))
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def hash_of(word):
+        return int(c.hashed_words(*c.arrow_bytes(pa.array([word.encode()])), c.ALNUM, lower=True)[2][0])
+
+    known = {}
+
+    def brute(text):
+        clean = 1 - model.leak
+        for sentence in re.split(r"[.!?\n]", (text or "").translate(lower)):
+            words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence))
+            if words:
+                for w in words - known.keys():
+                    known[w] = weight.get(hash_of(w), 0.0)
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(known[w] for w in words))))
+        return 1 - clean
+
+    got = queries.op2_toxicity(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - brute(texts[r.doc_id])) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)

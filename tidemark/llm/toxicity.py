@@ -8,8 +8,9 @@ probabilities then locate the offending ones. The leak absorbs labels that the t
 explain, which would otherwise lift every sentence of long clean documents.
 
 Training takes a bounded sample: of the labelled documents SAMPLE of each class at most, in the
-order of a hash of their ids and until SAMPLE_BYTES of text, weighted back to the classes' true
-sizes. Scoring covers every document in one pass without a shuffle.
+order of a hash of their ids, and of these each that still fits into SAMPLE_BYTES of text: a text too
+long for what is left is passed over, and the next one tried. The sample is weighted back to the
+classes' true sizes. Scoring covers every document in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -73,7 +74,16 @@ class Model:
         return 1 - (1 - self.leak) * np.exp(clean), p, (row, start, end)
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, dict[int, int]]:
+def _fitting(sizes: list[float], most: float) -> list[bool]:
+    """Which of these in turn fit into what those before have left."""
+    out = []
+    for size in sizes:
+        out.append(size <= most)
+        most -= size * out[-1]
+    return out
+
+
+def _sample(docs: DataFrame, labels: DataFrame, most_bytes: int) -> tuple[pd.DataFrame, dict[int, int]]:
     """doc_id, toxic, features of the sampled documents, and the classes' sizes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
@@ -84,7 +94,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, dict[int,
         drawn = part if drawn is None else drawn.union(part)
     lengths = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("bytes"))
     lengths = lengths.orderBy(order, "doc_id").toPandas()
-    lengths = lengths[lengths["bytes"].fillna(0).cumsum() <= SAMPLE_BYTES]
+    lengths = lengths[np.array(_fitting(lengths["bytes"].fillna(0).tolist(), most_bytes), bool)]
     if not len(lengths):
         return lengths.assign(features=[]), sizes
     chosen = docs.sparkSession.createDataFrame(lengths[["doc_id", "toxic"]])
@@ -105,11 +115,14 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, dict[int,
     return found.toPandas().sort_values("doc_id", ignore_index=True), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """docs(doc_id, text), labels(doc_id, toxic 0 or 1); without both classes the model is the base rate."""
+def fit(docs: DataFrame, labels: DataFrame, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """docs(doc_id, text), labels(doc_id, toxic 0 or 1); without both classes in the sample the model is the base rate.
+
+    The sample holds most_bytes of text at most, taken as the module says.
+    """
     c.short_batches(docs.sparkSession)
     docs, labels = c.pick(docs, "doc_id", "text"), c.pick(labels, "doc_id", "toxic")
-    found, sizes = _sample(docs, labels)
+    found, sizes = _sample(docs, labels, most_bytes)
     y = found["toxic"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
         total = sum(sizes.values())
@@ -202,7 +215,12 @@ def _spans(data, at, p, row, start, end) -> pa.Array:
 
 
 def remove(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs scored under the threshold, all columns as they were."""
+    """The rows of docs scored under the threshold, all columns as they were.
+
+    A model without words tells no document from another and removes none.
+    """
+    if not len(model.hashes):
+        return docs
     c.short_batches(docs.sparkSession)
     inner, names = c.with_internal(docs, __text="text")
     inner = inner.withColumn("__text", F.col("__text").cast("binary"))
