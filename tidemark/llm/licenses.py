@@ -5,9 +5,9 @@ for any words, N at most. Each is compiled to an automaton over words; a place o
 if the automaton, started there, reaches its end with every mandatory word equal and in order. Case,
 punctuation and line breaks don't count, as words are compared.
 
-Every text is tokenised whole and counted; automata run only on texts that hold, as a substring,
-the longest mandatory word of some template (without it no template can match), and start only at
-that template's possible first words.
+Every text is tokenised whole and counted. An automaton starts wherever one of its possible first words
+stands, so a text that holds none of all templates' first words, not even inside a word, can begin
+no wording: it is passed over, and scores 0 as it would otherwise.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from . import _common as c
 #: Fixed phrases of the base labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose <<opt>> and <</opt>> <<opt>> title and <</opt>> <<opt>> noninfringement <</opt>>"
+)
 _GRANT = (
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
     "documentation files the software to deal in the software without restriction including without limitation the "
@@ -40,24 +44,78 @@ _FORMS = (
     "the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
     "materials provided with the distribution"
 )
+_NO_ENDORSEMENT = (
+    "<<opt>> 3 <</opt>> neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission"
+)
+_DISCLAIMER = (
+    "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties "
+    "of merchantability and fitness for a particular purpose are disclaimed"
+)
 _UNDER = "licensed under <<opt>> the terms of <</opt>> <<opt>> a <</opt>> <<opt>> the <</opt>>"
+_GNU = f"{_UNDER} <<opt>> gnu <</opt>> <<opt>> KIND <</opt>> general public license <<opt>> as published by the free software foundation <</opt>> <<opt>> either <</opt>> version"
+_FREE = (
+    "this <<var 4>> is free software you can redistribute it and or modify it under the terms of the gnu KIND general public license "
+    "as published by the free software foundation <<opt>> either <</opt>> version"
+)
+
+
+def _gnu(form: str, kind: str) -> str:
+    """The form for the general license, or for one whose kind must be named."""
+    return form.replace("<<opt>> KIND <</opt>> ", f"{kind} " if kind else "").replace("KIND ", f"{kind} " if kind else "")
+
+
 #: (template, label): full texts, notices and identifiers.
 TEMPLATES = (
     (_GRANT, "mit-text"),
+    (f"{_GRANT} {_AS_IS}", "mit-text-with-warranty"),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "<<opt>> provided that the above copyright notice and this permission notice appear in all copies <</opt>>",
+        "isc-text",
+    ),
     (_FORMS, "bsd-2-clause-text"),
-    (_FORMS + " <<opt>> 3 <</opt>> neither the name of <<var 12>> may be used to endorse or promote products", "bsd-3-clause-text"),
+    (f"{_FORMS} {_NO_ENDORSEMENT}", "bsd-3-clause-text"),
+    (_DISCLAIMER, "bsd-disclaimer"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at <<var 8>> unless required by applicable law or agreed to in writing software distributed "
+        "under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "apache-2.0-header",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+        "with this file you can obtain one at",
+        "mpl-2.0-header",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "unlicense-text",
+    ),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("boost software license version 1 0", "bsl-1.0"),
     ("released under <<opt>> the terms of <</opt>> <<opt>> the <</opt>> mit license", "mit-notice"),
     (f"{_UNDER} mit license", "mit-notice"),
+    (f"{_UNDER} <<opt>> 2 clause <</opt>> <<opt>> 3 clause <</opt>> bsd license", "bsd-notice"),
+    (f"{_UNDER} isc license", "isc-notice"),
+    (f"{_UNDER} mozilla public license <<opt>> version <</opt>> <<opt>> v <</opt>> 2 0", "mpl-2.0"),
     (f"{_UNDER} apache license <<opt>> version <</opt>> 2 0", "apache-2.0"),
-    (f"{_UNDER} <<opt>> gnu <</opt>> general public license <<opt>> as published by the free software foundation <</opt>> <<opt>> either <</opt>> version 2", "gpl-2.0"),
-    (f"{_UNDER} <<opt>> gnu <</opt>> general public license <<opt>> as published by the free software foundation <</opt>> <<opt>> either <</opt>> version 3", "gpl-3.0"),
+    *((f"{_gnu(form, kind)} {v}", f"{short}-{v}.0") for form in (_GNU, _FREE) for kind, short in (("", "gpl"), ("affero", "agpl")) for v in ("2", "3")),
+    *((f"{_gnu(form, 'lesser')} {v}", f"lgpl-{v.replace(' ', '.')}") for form in (_GNU, _FREE) for v in ("2 1", "3")),
     (f"{_UNDER} cc by 4 0", "cc-by-4.0"),
     (f"{_UNDER} cc by sa 4 0", "cc-by-sa-4.0"),
     (f"{_UNDER} cc by nc 4 0", "cc-by-nc-4.0"),
     (f"{_UNDER} creative commons attribution 4 0 <<opt>> international <</opt>> <<opt>> public <</opt>> license", "cc-by-4.0"),
+    (f"{_UNDER} creative commons attribution sharealike 4 0 <<opt>> international <</opt>> <<opt>> public <</opt>> license", "cc-by-sa-4.0"),
     (f"{_UNDER} creative commons attribution noncommercial 4 0 <<opt>> international <</opt>> <<opt>> public <</opt>> license", "cc-by-nc-4.0"),
     ("spdx license identifier mit", "mit-notice"),
     ("spdx license identifier apache 2 0", "apache-2.0"),
+    ("spdx license identifier bsd 2 clause", "bsd-2-clause"),
+    ("spdx license identifier bsd 3 clause", "bsd-3-clause"),
+    ("spdx license identifier isc", "isc-notice"),
+    ("spdx license identifier mpl 2 0", "mpl-2.0"),
+    *((f"spdx license identifier {name} {v} 0 <<opt>> only <</opt>> <<opt>> or later <</opt>>", f"{name}-{v}.0") for name in ("gpl", "agpl", "lgpl") for v in ("2", "3")),
 )
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARK = re.compile(r"<<opt>>|<</opt>>|<<var (\d+)>>|[^\s<]+")
@@ -148,12 +206,13 @@ class Scanner:
     def __init__(self, base=BASE, templates=TEMPLATES):
         self.base = [Automaton.compile(t, label) for t, label in base]
         self.more = [Automaton.compile(t, label) for t, label in templates]
-        self.anchors = {max(a.mandatory, key=len) for a in self.base + self.more}
         self.by_head: dict[bytes, list[tuple[bool, Automaton]]] = {}
         for is_base, group in ((True, self.base), (False, self.more)):
             for a in group:
                 for head in a.heads:
                     self.by_head.setdefault(head, []).append((is_base, a))
+        # Heads that hold no other head: a text with any head in it has one of these in it.
+        self.anchors = [h for h in self.by_head if not any(other in h for other in self.by_head if other != h)]
 
     def scan(self, text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], float]:
         """Base places, template places (first word, end, label), and the largest share of a template's wording."""
