@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tidemark.llm import _common as c
 from tidemark.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string"
@@ -63,3 +64,23 @@ def test_empty_and_other_columns(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     df = spark.createDataFrame([(1, "a b", 3, "q")], "doc_id long, text string, block int, TEXT string")
     assert remove_repeats(df, 2).first().kept_text == "a b"
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark, sf_dir):
+    """First hashes of six bits: nearly all windows share one with others, and only the second hash tells."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in remove_repeats(docs, 35, 1 << 16, first_bits=6).collect()), key=str)
+    assert got == brute([tuple(r) for r in docs.collect()], 35)
+
+
+def test_very_many_equal_rows_are_one_row_of_a_block(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(300))
+    hot = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, F.lit(7).cast("long")).alias("doc_id"), F.lit(text).alias("text"))
+    few = spark.createDataFrame([(i, " ".join(f"x{i}y{j}" for j in range(50))) for i in range(20)] + [(7, "w1 w2"), (30, None)], SCHEMA)
+    largest = c.collapsed(hot.union(few), "doc_id", "text")
+    assert largest.count() == 2 + 22 and largest.agg(F.sum("times")).first()[0] == 100_022
+    got = remove_repeats(hot.union(few)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    want = {(None, 300, 300): 50_000, (7, 300, 300): 50_000, (7, 2, 0): 1, (30, 0, 0): 1} | {(i, 50, 0): 1 for i in range(20)}
+    assert {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in got} == want

@@ -87,6 +87,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, column: str, size: int, most: int = 128 << 20) -> DataFrame:
+    """Spread by a column so that a partition holds about `most` of `size` bytes, where the session's shuffle
+    partitions would hold more; else as it is, to be shuffled (and coalesced) as the session says."""
+    wanted = size // most + 1
+    return df.repartition(wanted, column) if wanted > partitions(df.sparkSession) else df
+
+
+def collapsed(rows: DataFrame, key: str, value: str, most: int = 1000) -> DataFrame:
+    """rows(key, value) and `times`: rows equal in both are one row, of keys that hold over 1/most of all rows
+    (and over `most` rows). Other rows stay single, times 1.
+
+    There are fewer than `most` such keys whatever the table, so that they may be collected and broadcast. Equal
+    rows are added up before they are shuffled.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where((F.col("n") > most) & (F.col("n") * most > total)).select(F.col(key).alias("_hot"))
+    found = hot.collect()
+    single = rows.withColumn("times", F.lit(1).cast("long"))
+    if not found:
+        return single
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    added = rows.join(hot, same, "left_semi").groupBy(row_key(key, value).alias("_row")).agg(
+        F.first(key).alias(key), F.first(value).alias(value), F.count(F.lit(1)).alias("times")
+    )
+    return single.join(hot, same, "left_anti").unionByName(added.drop("_row"))
+
+
 def row_key(*columns: str) -> Column:
     """128 bits as text, never null, of columns that may be: one key for windows and joins alike, so that
     rows are shuffled once for both. Nulls differ from empty strings."""
@@ -178,19 +207,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTERS = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=_U) | _U(1 << 63)
-_LETTERS_LOWER = _LETTERS.copy()
-_LETTERS_LOWER[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1]
+def _letters(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random number a byte, and the same with A-Z as a-z."""
+    letters = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=_U) | _U(1 << 63)
+    lower = letters.copy()
+    lower[ord("A") : ord("Z") + 1] = letters[ord("a") : ord("z") + 1]
+    return letters, lower
+
+
+#: Independent families of word hashes: the numbers of the bytes, and the base.
+_FAMILIES = ((*_letters(_SEED), _BASE), (*_letters(_SEED + 1), _U(0xC13FA9A902A6328F)))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, family: int = 0) -> np.ndarray:
     """A 64-bit polynomial hash of each word's bytes, all at once from one prefix sum."""
     if not len(starts):
         return np.empty(0, _U)
+    exact, folded, base = _FAMILIES[family]
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((_LETTERS_LOWER if lower else _LETTERS)[data] * powers(_BASE, len(data)), out=sums[1:], dtype=_U)
-        out = (sums[ends] - sums[starts]) * powers(inverse(_BASE), len(data))[starts]
+        np.cumsum((folded if lower else exact)[data] * powers(base, len(data)), out=sums[1:], dtype=_U)
+        out = (sums[ends] - sums[starts]) * powers(inverse(base), len(data))[starts]
         return mix(out + (ends - starts).astype(_U))
 
 
@@ -204,7 +241,7 @@ def pieces(at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def hashed_words(
-    data: np.ndarray, at: np.ndarray, inside: np.ndarray, lower: bool = False, limit: int = 1 << 21
+    data: np.ndarray, at: np.ndarray, inside: np.ndarray, lower: bool = False, limit: int = 1 << 21, family: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, hashes of all words and each row's word offsets, in pieces of bounded memory."""
     parts, first = [], [np.zeros(1, np.int64)]
@@ -212,7 +249,7 @@ def hashed_words(
     for i, j in pieces(at, limit):
         lo, hi = at[i], at[j]
         s, e, f = word_spans(data[lo:hi], at[i : j + 1] - lo, inside)
-        parts.append((s + lo, e + lo, word_hashes(data[lo:hi], s, e, lower)))
+        parts.append((s + lo, e + lo, word_hashes(data[lo:hi], s, e, lower, family)))
         first.append(f[1:] + count)
         count += len(s)
     if not parts:

@@ -1,21 +1,26 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-1. Documents are dealt into blocks of some megabytes by a hash of id and text.
+1. Documents are dealt into blocks of some megabytes by a hash of id and text. Rows that are equal in
+   both are one row with a count, if so many share an id that they would make a block too large.
 2. Each block hashes all its windows from one prefix sum (64 bits), adds up equal ones and sends
    them, packed, to the hash range ("bucket") they belong to. However often a window occurs in a
    block it is sent once, so a passage that a third of all rows share is no hot key.
 3. A bucket finds the hashes that came from two blocks or twice from one, and answers each block
    with those of its own that repeat.
-4. A block hashes its windows again, marks the words under repeated ones, merges the marks into
-   maximal intervals and drops them.
+4. At 64 bits some unlike windows of a very large corpus share a hash. So each block sends the windows
+   it was answered again, with a second hash from other numbers for words and bytes, and the bucket
+   answers those that repeat in both, 128 bits.
+5. A block marks the words under these, merges the marks into maximal intervals and drops them.
 
 Shuffled are the texts (once), 8 bytes a distinct window of a block less what sorting and
-compression save, and the repeated hashes. Memory of a task: one block, or one bucket of about
-2 ** 19 hashes.
+compression save, and 16 bytes a window found to repeat, twice. Memory of a task: one block, or one
+bucket of about 2 ** 19 hashes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,71 +31,145 @@ from . import _common as c
 WINDOW = 35
 BLOCK_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 19
-_WORD_BASE = np.uint64(0xD1342543DE82EF95)
+#: Of each hash family the base of windows over words.
+_WORD_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAEF17502108EF2D9))
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, first: np.ndarray, window: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of every window of `window` words inside one row."""
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    base = _WORD_BASES[family]
     with np.errstate(over="ignore"):
         sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * c.powers(_WORD_BASE, len(words)), out=sums[1:], dtype=np.uint64)
-        hashes = c.mix((sums[window:] - sums[:-window]) * c.powers(c.inverse(_WORD_BASE), n))
+        np.cumsum(words * c.powers(base, len(words)), out=sums[1:], dtype=np.uint64)
+        hashes = c.mix((sums[window:] - sums[:-window]) * c.powers(c.inverse(base), n))
     row_end = np.repeat(first[1:], np.diff(first))
     whole = np.flatnonzero(np.arange(n) + window <= row_end[:n])
     return hashes[whole], whole
 
 
-def _requests(table: pa.Table, window: int, bits: int) -> pa.Table:
-    data, at = c.arrow_bytes(table["text"])
-    _, _, words, first = c.hashed_words(data, at, c.BLANKS)
-    hashes, _ = window_hashes(words, first, window)
-    hashes, times = np.unique(hashes, return_counts=True)
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    ids, lo = np.unique(bucket, return_index=True)
-    hi = np.append(lo[1:], len(hashes))
-    own, again = [], []
-    for i, j in zip(lo, hi, strict=True):
-        part, more = hashes[i:j], times[i:j] > 1
-        own.append(c.pack(part))
-        again.append(np.packbits(more).tobytes() if more.any() else b"")
-    block = table["block"][0].as_py() if len(table) else 0
-    return pa.table(
-        {
-            "bucket": pa.array(ids, pa.int64()),
-            "block": pa.array([block] * len(ids), pa.int64()),
-            "hashes": pa.array(own, pa.binary()),
-            "again": pa.array(again, pa.binary()),
-        }
-    )
+@dataclass(frozen=True)
+class Plan:
+    """Words of a window; buckets are 2 ** bits; of first hashes the highest `kept` bits count."""
+
+    window: int
+    bits: int
+    kept: int = 64
+
+    def windows(self, docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window its first hash, its first word and how many equal rows have it."""
+        data, at = c.arrow_bytes(docs["text"])
+        _, _, words, first = c.hashed_words(data, at, c.BLANKS)
+        hashes, where = window_hashes(words, first, self.window)
+        hashes &= np.uint64((1 << 64) - (1 << (64 - self.kept)))
+        times = docs["times"].to_numpy()
+        return hashes, where, times[np.searchsorted(first, where, "right") - 1] if times.max(initial=1) > 1 else np.ones(len(where), np.int64)
+
+    def seconds(self, docs: pa.Table) -> np.ndarray:
+        data, at = c.arrow_bytes(docs["text"])
+        _, _, words, first = c.hashed_words(data, at, c.BLANKS, family=1)
+        return window_hashes(words, first, self.window, family=1)[0]
+
+    def sent(self, docs: pa.Table, hashes: np.ndarray, **more: np.ndarray) -> pa.Table:
+        """Sorted hashes, and what goes with them, by bucket."""
+        edges = np.searchsorted(hashes, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        edges = np.concatenate([[0], edges, [len(hashes)]])
+        used = np.flatnonzero(np.diff(edges))
+        block = docs["block"][0].as_py() if len(docs) else 0
+        out = {"bucket": pa.array(used, pa.int64()), "block": pa.array(np.full(len(used), block), pa.int64())}
+        for name, column in {"hashes": hashes, **more}.items():
+            parts = [column[edges[i] : edges[i + 1]] for i in used]
+            out[name] = pa.array([c.pack(x) if column.dtype == np.uint64 else np.packbits(x).tobytes() if x.any() else b"" for x in parts], pa.binary())
+        return pa.table(out)
+
+
+def _requests(docs: pa.Table, plan: Plan) -> pa.Table:
+    hashes, _, times = plan.windows(docs)
+    if times.max(initial=1) > 1:
+        hashes, own = np.unique(hashes, return_inverse=True)
+        n = np.bincount(own, times, len(hashes))
+    else:
+        hashes, n = np.unique(hashes, return_counts=True)
+    return plan.sent(docs, hashes, again=n > 1)
+
+
+def _again(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
 
 
 def _answers(table: pa.Table) -> pa.Table:
     sent = [c.unpack(x) for x in table["hashes"].to_pylist()]
-    again = [
-        h[np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool)] if x else h[:0]
-        for h, x in zip(sent, table["again"].to_pylist(), strict=True)
-    ]
+    again = [h[_again(x, len(h))] for h, x in zip(sent, table["again"].to_pylist(), strict=True)]
     every = np.sort(np.concatenate([*sent, *again]))
     repeated = np.unique(every[1:][every[1:] == every[:-1]])
     mine = [h[np.isin(h, repeated, assume_unique=True)] for h in sent]
-    blocks = table["block"].to_pylist()
-    full = [(b, c.pack(h)) for b, h in zip(blocks, mine, strict=True) if len(h)]
+    full = [(b, c.pack(h)) for b, h in zip(table["block"].to_pylist(), mine, strict=True) if len(h)]
     return pa.table({"block": pa.array([b for b, _ in full], pa.int64()), "repeated": pa.array([h for _, h in full], pa.binary())})
 
 
-def _cut(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
-    data, at = c.arrow_bytes(docs["text"])
-    starts, ends, words, first = c.hashed_words(data, at, c.BLANKS)
-    repeated = [c.unpack(x) for x in answers["repeated"].to_pylist()]
-    marks = np.zeros(len(words) + 1, np.int64)
-    if repeated:
-        hashes, where = window_hashes(words, first, window)
-        where = where[np.isin(hashes, np.concatenate(repeated))]
+def _questions(docs: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
+    """The block's windows that seem to repeat, by both hashes."""
+    if not len(answers):
+        return plan.sent(docs, np.empty(0, np.uint64), second=np.empty(0, np.uint64), again=np.empty(0, bool))
+    hashes, _, times = plan.windows(docs)
+    some = np.flatnonzero(np.isin(hashes, np.concatenate([c.unpack(x) for x in answers["repeated"].to_pylist()])))
+    first, second, times = hashes[some], plan.seconds(docs)[some], times[some]
+    order = np.lexsort((second, first))
+    first, second, times = first[order], second[order], times[order]
+    head = np.flatnonzero(_new(first, second))
+    return plan.sent(docs, first[head], second=second[head], again=np.add.reduceat(times, head) > 1 if len(head) else np.empty(0, bool))
+
+
+def _new(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether each of a sorted list of pairs differs from the one before."""
+    out = np.ones(len(first), bool)
+    out[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return out
+
+
+def _confirmed(table: pa.Table) -> pa.Table:
+    """Each block's pairs of hashes that repeat."""
+    sent = [(c.unpack(a), c.unpack(b)) for a, b in zip(table["hashes"].to_pylist(), table["second"].to_pylist(), strict=True)]
+    edges = np.cumsum([0, *(len(a) for a, _ in sent)])
+    first, second = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
+    again = np.concatenate([_again(x, len(a)) for x, (a, _) in zip(table["again"].to_pylist(), sent, strict=True)])
+    order = np.lexsort((second, first))
+    group = np.cumsum(_new(first[order], second[order])) - 1
+    often = np.bincount(group) + np.bincount(group, again[order]) > 1
+    good = np.empty(len(first), bool)
+    good[order] = often[group]
+    out = [(b, c.pack(first[i:j][good[i:j]]), c.pack(second[i:j][good[i:j]])) for b, i, j in zip(table["block"].to_pylist(), edges[:-1], edges[1:], strict=True)]
+    return pa.table({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate((("block", pa.int64()), ("repeated", pa.binary()), ("second", pa.binary())))})
+
+
+def _marks(docs: pa.Table, answers: pa.Table, plan: Plan, n_words: int) -> np.ndarray:
+    """Of every word, and one more, by how many the windows over it grow there."""
+    marks = np.zeros(n_words + 1, np.int64)
+    if len(answers):
+        first, second = (np.concatenate([c.unpack(x) for x in answers[k].to_pylist()]) for k in ("repeated", "second"))
+        hashes, where, _ = plan.windows(docs)
+        some = np.flatnonzero(np.isin(hashes, first))
+        # Each pair as one number: its rank among the answered ones, if it is one of them.
+        order = np.lexsort((second, first))
+        pairs = np.empty(len(first), _PAIR)
+        pairs["a"], pairs["b"] = first[order], second[order]
+        mine = np.empty(len(some), _PAIR)
+        mine["a"], mine["b"] = hashes[some], plan.seconds(docs)[some]
+        where = where[some[np.isin(mine, pairs)]]
         marks += np.bincount(where, minlength=len(marks))
-        marks -= np.bincount(where + window, minlength=len(marks))
+        marks -= np.bincount(where + plan.window, minlength=len(marks))
+    return marks
+
+
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _cut(docs: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
+    data, at = c.arrow_bytes(docs["text"])
+    starts, ends, first = c.word_spans(data, at, c.BLANKS)
+    marks = _marks(docs, answers, plan, len(starts))
     gone = np.cumsum(marks)[:-1] > 0
     kept, intervals, removed = [], [], []
     raw = data.tobytes()
@@ -108,6 +187,7 @@ def _cut(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     return pa.table(
         {
             "doc_id": docs["doc_id"],
+            "times": docs["times"],
             "n_words": pa.array(np.diff(first), pa.int64()),
             "n_removed": pa.array(removed, pa.int64()),
             "removed": pa.array(intervals, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
@@ -116,7 +196,7 @@ def _cut(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, first_bits: int = 64) -> DataFrame:
     """Each document without the words that lie in a window of `window` words found twice anywhere.
 
     Returns a row for each input row: doc_id, n_words, n_removed, removed (maximal intervals of
@@ -124,7 +204,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
 
     A null text has no words; texts shorter than a window lose nothing; an empty table gives an
     empty result. Rows that repeat, with equal or null ids too, repeat each other's windows and
-    lose them all. Texts of any length are taken whole. Other columns are ignored.
+    lose them all; however many they are, they are one row of their block. Texts of any length are
+    taken whole. Other columns are ignored. Of first hashes first_bits count: fewer than 64 only
+    make the second ones work harder.
     """
     spark = docs.sparkSession
     c.short_batches(spark)
@@ -132,20 +214,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(c.partitions(spark), total // block_bytes + 1)
     buckets = max(c.partitions(spark), total // 6 // BUCKET_HASHES + 1)
-    bits = max(1, int(buckets - 1).bit_length())
-    dealt = rows.select(
-        "doc_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    )
-    requests = dealt.groupBy("block").applyInArrow(
-        lambda t: _requests(t, window, bits), "bucket long, block long, hashes binary, again binary"
-    )
+    plan = Plan(window, max(1, int(buckets - 1).bit_length()), first_bits)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
+    dealt = c.collapsed(rows, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), "times", block)
+    dealt = c.dealt(dealt, "block", total)
+    sent = "bucket long, block long, hashes binary"
+    requests = dealt.groupBy("block").applyInArrow(lambda t: _requests(t, plan), f"{sent}, again binary")
     answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, repeated binary")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return (
-        dealt.groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(
-            lambda d, a: _cut(d, a, window),
-            f"doc_id {id_type}, n_words long, n_removed long, removed array<struct<first: long, end: long>>, kept_text string",
-        )
+    questions = (
+        dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _questions(d, a, plan), f"{sent}, second binary, again binary")
     )
+    confirmed = questions.groupBy("bucket").applyInArrow(_confirmed, "block long, repeated binary, second binary")
+    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, times long, n_words long, n_removed long, removed array<struct<first: long, end: long>>, kept_text string"
+    out = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(lambda d, a: _cut(d, a, plan), kinds)
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
