@@ -88,10 +88,81 @@ def test_em_recovers_reliabilities():
     for k, r in enumerate(right[:4]):
         assert abs(reliability["secret"][1, k, 2] - r) < 0.03 and abs(reliability["secret"][0, k, 0] - r) < 0.03
     assert abs(prior["secret"] - 0.4) < 0.03
-    fitted = p.classifier(counts, posterior)
-    assert all(abs(fitted[x] - posterior[x]) < 0.1 for x in counts)
+    model = p.Model(reliability, prior, p.classifier(counts, posterior))
+    assert all(abs(model.probability(x) - posterior[x]) < 0.1 for x in counts)
 
 
 def test_other_columns(spark):
     df = spark.createDataFrame([(1, "a@b.cd", "q", 3)], "doc_id long, text string, TEXT string, base int")
     assert [tuple(x) for x in p.find(df, p.fit(df)).first().base] == [("email", 0, 6)]
+
+
+def _iban(rng):
+    account = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int("".join(str(int(x, 36)) for x in f"{account}DE00")) % 97
+    return f"DE{check:02d}{account}"
+
+
+def planted(rng, kind):
+    """(text before, span, text after) that holds personal data of the kind."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    made = {
+        "iban": ("account IBAN ", _iban(rng)),
+        "name": (rng.choice(["Dear ", "the customer ", "signed: "]), f"Dr. {word().capitalize()} {word().capitalize()}"),
+        "national_phone": (rng.choice(["phone: ", "call me at "]), f"({rng.randrange(2, 10)}{digits(2)}) {rng.randrange(2, 10)}{digits(2)}-{digits(4)}"),
+        "secret": (rng.choice(["api key = \"", "token: ", "password="]), hashlib.sha1(str(rng.random()).encode()).hexdigest()),
+        "ssn": (rng.choice(["social security number ", "SSN: "]), f"{rng.randrange(100, 600):03d}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
+    }
+    return made[kind]
+
+
+def decoy(rng, kind):
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    made = {
+        "iban": ("part ", f"AB12{letters(14).upper()}"),
+        "name": ("see ", "Mr. Xx"),
+        "national_phone": ("id 7/", "000 000 0000"),
+        "secret": ("https://host/path/", f"{letters(12)}-{letters(12)}"),
+        "ssn": ("code #", "000-00-0000"),
+    }
+    return made[kind]
+
+
+def test_spans_of_documents_that_the_fit_never_saw(spark):
+    """Recall and decoys by kind: fitted on one half, judged on the other."""
+    import random
+
+    rng, rows, want, not_want = random.Random(5), [], {}, {}
+    for i in range(1200):
+        kind, true = p.ADDED[i % 5], rng.random() < 0.5
+        before, span = (planted if true else decoy)(rng, kind)
+        text = f"Some é words come first, then {before}{span} and others follow."
+        (want if true else not_want)[i] = (kind, text.index(span), text.index(span) + len(span))
+        rows.append((i, text))
+    half = lambda k: spark.createDataFrame([r for r in rows if r[0] // 5 % 2 == k], SCHEMA)
+    got = {r.doc_id: {tuple(x) for x in r.added} for r in p.find(half(1), p.fit(half(0))).collect()}
+    for kind in p.ADDED:
+        mine = [i for i in want if i in got and want[i][0] == kind]
+        bad = [i for i in not_want if i in got and not_want[i][0] == kind]
+        assert len(mine) > 40 and sum(want[i] in got[i] for i in mine) >= 0.9 * len(mine), kind
+        assert sum(not_want[i] in got[i] for i in bad) <= 0.1 * len(bad), kind
+
+
+def test_kinds_that_the_fit_never_saw(spark):
+    ssn = spark.createDataFrame([(i, f"SSN: {100 + i}-{10 + i}-{1000 + i}") for i in range(50)], SCHEMA)
+    text = f'api token = "{hashlib.sha1(b"x").hexdigest()}"'
+    (row,) = p.find(spark.createDataFrame([(1, text)], SCHEMA), p.fit(ssn)).collect()
+    assert [(x.kind, text[x.start : x.end]) for x in row.added] == [("secret", hashlib.sha1(b"x").hexdigest())]
+
+
+def test_planted_secrets_of_the_tables_are_found(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    spans = {r.doc_id: r.spans for r in op9_pii(spark, sf).collect()}
+    n = 0
+    for i, text in texts.items():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', text or ""):
+            assert f"secret:{m.start(1)}:{m.end(1)}" in spans[i].split(",")
+            n += 1
+    assert n >= 10

@@ -6,11 +6,13 @@ vote on each: a strict regex or checksum, a gazetteer of cue words before the sp
 around it, the span's own make-up, and how crowded the document is. Nobody labels a span by hand:
 expectation-maximisation over all candidates' votes estimates each labeler's reliability for each
 kind and with it every candidate's probability; those probabilities train a logistic classifier over
-votes and span features, which decides.
+votes and span features, which decides. It is held near the majority of votes where the corpus says
+little, so it judges combinations of votes and features that the fit never saw, and kinds too.
 
-Both fits need only how often each combination of kind, votes and features occurs. These counts are
-taken over every document, and there are finitely many combinations whatever the corpus (kinds times
-3 ** labelers times features), so the driver's share is bounded. No text is shuffled.
+Texts are searched once: base spans and candidates are few beside the text, and fit and decision go
+over them alone. Both fits need only how often each combination of kind, votes and features occurs.
+These counts are taken over every document, and there are finitely many combinations whatever the
+corpus (kinds times 3 ** labelers times features), so the driver's share is bounded. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def _strict(kind: str, s: str) -> int:
     if kind == "ssn":
         return -1 if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else 1
     if kind == "secret":
-        return 1 if re.fullmatch(r"[0-9a-f]{32,128}|(?:sk|pk|gh[pousr]|xox[bp])[-_][A-Za-z0-9_-]{16,}", s) else 0
+        return 1 if re.fullmatch(r"[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|gh[pousr]|xox[bp])[-_][A-Za-z0-9_-]{16,}", s) else 0
     if kind == "national_phone":
         return 1 if re.fullmatch(r"\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}", s) else 0
     return 1 if s.count(" ") == 2 else 0
@@ -174,7 +176,12 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[Span]:
 class Model:
     reliability: dict[str, np.ndarray]  # by kind: (class, labeler, vote) probabilities
     prior: dict[str, float]
-    accepted: dict[str, float]  # by pattern: the classifier's probability
+    weights: dict[str, float]  # of the classifier, by feature
+
+    def probability(self, pattern: str) -> float:
+        """The classifier's, of any combination of votes and features."""
+        score = sum(self.weights.get(f, _majority(f)) for f in _features(pattern))
+        return float(1 / (1 + np.exp(-np.clip(score, -30, 30))))
 
 
 def votes_of(pattern: str) -> np.ndarray:
@@ -212,8 +219,18 @@ def _features(pattern: str) -> list[str]:
     return ["", kind] + [f"{kind}:{i}{v}" for i, v in enumerate(votes) if v != "0"] + [f"length{rest[0]}", f"digits{rest[1]}", f"quoted{rest[2]}"]
 
 
+def _majority(feature: str) -> float:
+    """The weight that a feature has where nothing is known: a sum of votes over 0 speaks for personal data."""
+    if ":" in feature:
+        return 1.5 if feature.endswith("+") else -1.5
+    return 0.0 if feature else -0.75
+
+
 def classifier(counts: dict[str, int], posterior: dict[str, float], steps: int = 300) -> dict[str, float]:
-    """Logistic regression over votes and features with the posteriors as labels; the probability of each pattern."""
+    """Logistic regression over votes and features with the posteriors as labels; the weight of each feature.
+
+    The ridge penalty draws each weight to that of the majority vote, not to 0.
+    """
     patterns = sorted(counts)
     if not patterns:
         return {}
@@ -223,61 +240,93 @@ def classifier(counts: dict[str, int], posterior: dict[str, float], steps: int =
         x[i, [names.index(f) for f in _features(p)]] = 1
     n, q = np.array([counts[p] for p in patterns], float), np.array([posterior[p] for p in patterns])
     n /= n.sum()
-    w = np.zeros(len(names))
-    for _ in range(steps):  # Newton steps of a ridge penalty, damped
+    start = np.array([_majority(f) for f in names])
+    w = start.copy()
+    for _ in range(steps):  # Newton steps, damped
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - q)) + 1e-4 * w
+        gradient = x.T @ (n * (p - q)) + 1e-4 * (w - start)
         hessian = (x.T * (n * p * (1 - p))) @ x + 1e-4 * np.eye(len(w))
         move = np.linalg.solve(hessian, gradient)
         w -= move / max(1.0, np.abs(move).max())
         if np.abs(move).max() < 1e-8:
             break
-    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+    return dict(zip(names, w.tolist(), strict=True))
 
 
-def fit(docs: DataFrame) -> Model:
-    """From all documents: counts of patterns, the label model, the classifier."""
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_CANDIDATE = pa.struct([*_SPAN, ("pattern", pa.string())])
+_SPANS = "array<struct<kind: string, start: long, end: long>>"
+
+
+def search(docs: DataFrame) -> DataFrame:
+    """doc_id, base and candidates (spans with their pattern) of every row, from one pass over the texts."""
     c.short_batches(docs.sparkSession)
-    rows = c.pick(docs, "text").where(F.col("text").isNotNull())
+    rows = c.pick(docs, "doc_id", "text")
 
     def run(batches):
-        found: dict[str, int] = {}
         for batch in batches:
+            own, more = [], []
             for text in batch.column("text").to_pylist():
-                for span in candidates(text, base(text)):
-                    found[span.pattern] = found.get(span.pattern, 0) + 1
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pattern", "n"])
+                fixed = base(text or "")
+                more.append([vars(s) for s in candidates(text or "", fixed)])
+                own.append([{"kind": k, "start": a, "end": b} for k, a, b in fixed])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(own, pa.list_(_SPAN)), pa.array(more, pa.list_(_CANDIDATE))], names=["doc_id", "base", "candidates"]
+            )
+
+    more = "array<struct<kind: string, start: long, end: long, pattern: string>>"
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, base {_SPANS}, candidates {more}")
 
-    counted = rows.mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    counts = {r.pattern: r.n for r in counted.collect()}
+
+def fit_found(found: DataFrame) -> Model:
+    """From what `search` found in all documents: counts of patterns, the label model, the classifier."""
+    patterns = found.select(F.explode("candidates.pattern").alias("pattern"))
+    counts = {r.pattern: r.n for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     reliability, prior, posterior = label_model(counts)
     return Model(reliability, prior, classifier(counts, posterior))
 
 
+def decide(found: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, base and added of every row that `search` gave: see `find`."""
+    place = {k: i for i, k in enumerate(KINDS + ADDED)}
+
+    def run(batches):
+        known: dict[str, bool] = {}
+
+        def accepted(pattern: str) -> bool:
+            if pattern not in known:
+                known[pattern] = model.probability(pattern) >= threshold
+            return known[pattern]
+
+        def placed(spans: list[dict]) -> list[dict]:
+            return sorted(spans, key=lambda s: (place[s["kind"]], s["start"]))
+
+        for batch in batches:
+            own = [placed(spans) for spans in batch.column("base").to_pylist()]
+            more = [
+                placed([{k: s[k] for k in ("kind", "start", "end")} for s in spans if accepted(s["pattern"])]) for spans in batch.column("candidates").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.list_(_SPAN)), pa.array(more, pa.list_(_SPAN))], names=["doc_id", "base", "added"])
+
+    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, base {_SPANS}, added {_SPANS}")
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all documents of a table."""
+    return fit_found(search(docs))
+
+
 def find(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, base and added: spans (kind, start, end in code points, end exclusive) by kind, then start.
 
-    base holds the four fixed kinds, added what the classifier accepts besides. Null and empty texts
-    have none. Rows that repeat have equal spans; an empty table gives an empty result; texts are
-    searched whole, and other columns ignored.
+    base holds the four fixed kinds, added what the classifier accepts besides; the model may come from
+    another table. Null and empty texts have none. Rows that repeat have equal spans; an empty table gives
+    an empty result; texts are searched whole, and other columns ignored.
     """
-    c.short_batches(docs.sparkSession)
-    rows = c.pick(docs, "doc_id", "text")
-    accepted = frozenset(p for p, x in model.accepted.items() if x >= threshold)
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    place = {k: i for i, k in enumerate(KINDS + ADDED)}
+    return decide(search(docs), model, threshold)
 
-    def run(batches):
-        for batch in batches:
-            own, more = [], []
-            for text in batch.column("text").to_pylist():
-                fixed = base(text or "")
-                extra = [(s.kind, s.start, s.end) for s in candidates(text or "", fixed) if s.pattern in accepted]
-                for out, spans in ((own, fixed), (more, extra)):
-                    spans.sort(key=lambda x: (place[x[0]], x[1]))
-                    out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.list_(span)), pa.array(more, pa.list_(span))], names=["doc_id", "base", "added"])
-
-    kind = "array<struct<kind: string, start: long, end: long>>"
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, base {kind}, added {kind}")
+
+def find_own(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`find` with the model of the same table, its texts searched once; what is found is kept in the shared folder."""
+    found = c.written(search(docs), "pii")
+    return decide(found, fit_found(found), threshold)

@@ -99,8 +99,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = c.documents(spark, sf_dir)
-    rows = pii.find(docs, pii.fit(docs))
+    rows = pii.find_own(c.documents(spark, sf_dir))
 
     def count(kind):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
