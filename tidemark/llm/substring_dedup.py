@@ -6,14 +6,14 @@
    them, packed, to the hash range ("bucket") they belong to. However often a window occurs in a
    block it is sent once, so a passage that a third of all rows share is no hot key.
 3. A bucket finds the hashes that came from two blocks or twice from one, and answers each block
-   with those of its own that repeat.
+   with a bit for each of its own: whether it repeats.
 4. At 64 bits some unlike windows of a very large corpus share a hash. So each block sends the windows
    it was answered again, with a second hash from other numbers for words and bytes, and the bucket
    answers those that repeat in both, 128 bits.
 5. A block marks the words under these, merges the marks into maximal intervals and drops them.
 
 Shuffled are the texts (once), 8 bytes a distinct window of a block less what sorting and
-compression save, and 16 bytes a window found to repeat, twice. Memory of a task: one block, or one
+compression save, 16 bytes a distinct window found to repeat, and bits. Memory of a task: one block, or one
 bucket of about 2 ** 19 hashes.
 """
 
@@ -72,18 +72,49 @@ class Plan:
         _, _, words, first = c.hashed_words(data, at, c.BLANKS, family=1)
         return window_hashes(words, first, self.window, family=1)[0]
 
+    def edges(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each bucket's hashes begin among sorted ones, and the end."""
+        inner = np.searchsorted(hashes, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        return np.concatenate([[0], inner, [len(hashes)]])
+
     def sent(self, docs: pa.Table, hashes: np.ndarray, **more: np.ndarray) -> pa.Table:
         """Sorted hashes, and what goes with them, by bucket."""
-        edges = np.searchsorted(hashes, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        edges = np.concatenate([[0], edges, [len(hashes)]])
+        edges = self.edges(hashes)
         used = np.flatnonzero(np.diff(edges))
         block = docs["block"][0].as_py() if len(docs) else 0
         out = {"bucket": pa.array(used, pa.int64()), "block": pa.array(np.full(len(used), block), pa.int64())}
         for name, column in {"hashes": hashes, **more}.items():
             parts = [column[edges[i] : edges[i + 1]] for i in used]
-            out[name] = pa.array([c.pack(x) if column.dtype == np.uint64 else np.packbits(x).tobytes() if x.any() else b"" for x in parts], pa.binary())
+            out[name] = pa.array([c.pack(x) if column.dtype == np.uint64 else _bits(x) for x in parts], pa.binary())
         return pa.table(out)
 
+    def told(self, hashes: np.ndarray, answers: pa.Table) -> np.ndarray:
+        """Of sorted hashes that were sent, which ones the buckets' answers name."""
+        out, edges = np.zeros(len(hashes), bool), self.edges(hashes)
+        for bucket, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+            lo, hi = edges[bucket], edges[bucket + 1]
+            out[lo:hi] = _flags(bits, hi - lo)
+        return out
+
+    def suspects(self, docs: pa.Table, flags: np.ndarray | pa.Table) -> tuple[np.ndarray, ...]:
+        """The windows whose first hash is flagged among the block's distinct ones: first word, both hashes and times,
+        in order of the hashes; and the flags."""
+        hashes, where, times = self.windows(docs)
+        distinct = np.unique(hashes)
+        flags = self.told(distinct, flags) if isinstance(flags, pa.Table) else flags[: len(distinct)]
+        some = np.flatnonzero(np.isin(hashes, distinct[flags]))
+        first, second = hashes[some], self.seconds(docs)[some] if len(some) else hashes[some]
+        order = np.lexsort((second, first))
+        return where[some[order]], first[order], second[order], times[some[order]], flags
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes() if flags.any() else b""
+
+
+def _flags(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
+
 
 def _requests(docs: pa.Table, plan: Plan) -> pa.Table:
     hashes, _, times = plan.windows(docs)
@@ -95,31 +126,14 @@ def _requests(docs: pa.Table, plan: Plan) -> pa.Table:
     return plan.sent(docs, hashes, again=n > 1)
 
 
-def _again(packed: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
-
-
 def _answers(table: pa.Table) -> pa.Table:
+    """For each block a bit a hash that it sent, in its order: whether it repeats."""
     sent = [c.unpack(x) for x in table["hashes"].to_pylist()]
-    again = [h[_again(x, len(h))] for h, x in zip(sent, table["again"].to_pylist(), strict=True)]
+    again = [h[_flags(x, len(h))] for h, x in zip(sent, table["again"].to_pylist(), strict=True)]
     every = np.sort(np.concatenate([*sent, *again]))
     repeated = np.unique(every[1:][every[1:] == every[:-1]])
-    mine = [h[np.isin(h, repeated, assume_unique=True)] for h in sent]
-    full = [(b, c.pack(h)) for b, h in zip(table["block"].to_pylist(), mine, strict=True) if len(h)]
-    return pa.table({"block": pa.array([b for b, _ in full], pa.int64()), "repeated": pa.array([h for _, h in full], pa.binary())})
-
-
-def _questions(docs: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
-    """The block's windows that seem to repeat, by both hashes."""
-    if not len(answers):
-        return plan.sent(docs, np.empty(0, np.uint64), second=np.empty(0, np.uint64), again=np.empty(0, bool))
-    hashes, _, times = plan.windows(docs)
-    some = np.flatnonzero(np.isin(hashes, np.concatenate([c.unpack(x) for x in answers["repeated"].to_pylist()])))
-    first, second, times = hashes[some], plan.seconds(docs)[some], times[some]
-    order = np.lexsort((second, first))
-    first, second, times = first[order], second[order], times[order]
-    head = np.flatnonzero(_new(first, second))
-    return plan.sent(docs, first[head], second=second[head], again=np.add.reduceat(times, head) > 1 if len(head) else np.empty(0, bool))
+    bits = [_bits(np.isin(h, repeated, assume_unique=True)) for h in sent]
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
 def _new(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -129,43 +143,43 @@ def _new(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
+def _questions(docs: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
+    """The block's windows that seem to repeat, by both hashes; the flags they were told by go along, to come back."""
+    _, first, second, times, flags = plan.suspects(docs, answers)
+    head = np.flatnonzero(_new(first, second))
+    again = np.add.reduceat(times, head) > 1 if len(head) else np.empty(0, bool)
+    out = plan.sent(docs, first[head], second=second[head], again=again)
+    return out.append_column("flags", pa.array([_bits(flags)] + [None] * (len(out) - 1) if len(out) else [], pa.binary()))
+
+
 def _confirmed(table: pa.Table) -> pa.Table:
-    """Each block's pairs of hashes that repeat."""
+    """For each block a bit a pair of hashes that it sent, in its order: whether the pair repeats."""
     sent = [(c.unpack(a), c.unpack(b)) for a, b in zip(table["hashes"].to_pylist(), table["second"].to_pylist(), strict=True)]
     edges = np.cumsum([0, *(len(a) for a, _ in sent)])
     first, second = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
-    again = np.concatenate([_again(x, len(a)) for x, (a, _) in zip(table["again"].to_pylist(), sent, strict=True)])
+    again = np.concatenate([_flags(x, len(a)) for x, (a, _) in zip(table["again"].to_pylist(), sent, strict=True)])
     order = np.lexsort((second, first))
     group = np.cumsum(_new(first[order], second[order])) - 1
     often = np.bincount(group) + np.bincount(group, again[order]) > 1
     good = np.empty(len(first), bool)
     good[order] = often[group]
-    out = [(b, c.pack(first[i:j][good[i:j]]), c.pack(second[i:j][good[i:j]])) for b, i, j in zip(table["block"].to_pylist(), edges[:-1], edges[1:], strict=True)]
-    return pa.table({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate((("block", pa.int64()), ("repeated", pa.binary()), ("second", pa.binary())))})
+    bits = [_bits(good[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary()), "flags": table["flags"]})
 
 
 def _marks(docs: pa.Table, answers: pa.Table, plan: Plan, n_words: int) -> np.ndarray:
     """Of every word, and one more, by how many the windows over it grow there."""
     marks = np.zeros(n_words + 1, np.int64)
-    if len(answers):
-        first, second = (np.concatenate([c.unpack(x) for x in answers[k].to_pylist()]) for k in ("repeated", "second"))
-        hashes, where, _ = plan.windows(docs)
-        some = np.flatnonzero(np.isin(hashes, first))
-        # Each pair as one number: its rank among the answered ones, if it is one of them.
-        order = np.lexsort((second, first))
-        pairs = np.empty(len(first), _PAIR)
-        pairs["a"], pairs["b"] = first[order], second[order]
-        mine = np.empty(len(some), _PAIR)
-        mine["a"], mine["b"] = hashes[some], plan.seconds(docs)[some]
-        where = where[some[np.isin(mine, pairs)]]
-        marks += np.bincount(where, minlength=len(marks))
-        marks -= np.bincount(where + plan.window, minlength=len(marks))
+    flags = next((x for x in answers["flags"].to_pylist() if x is not None), None)
+    if flags is not None:
+        where, first, second, _, _ = plan.suspects(docs, _flags(flags, 8 * len(flags)))
+        new = _new(first, second)
+        good = plan.told(first[new], answers)[np.cumsum(new) - 1]
+        marks += np.bincount(where[good], minlength=len(marks))
+        marks -= np.bincount(where[good] + plan.window, minlength=len(marks))
     return marks
 
 
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
-
-
 def _cut(docs: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
     data, at = c.arrow_bytes(docs["text"])
     starts, ends, first = c.word_spans(data, at, c.BLANKS)
@@ -220,11 +234,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     dealt = c.dealt(dealt, "block", total)
     sent = "bucket long, block long, hashes binary"
     requests = dealt.groupBy("block").applyInArrow(lambda t: _requests(t, plan), f"{sent}, again binary")
-    answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, repeated binary")
+    answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, bucket long, bits binary")
     questions = (
-        dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _questions(d, a, plan), f"{sent}, second binary, again binary")
+        dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _questions(d, a, plan), f"{sent}, second binary, again binary, flags binary")
     )
-    confirmed = questions.groupBy("bucket").applyInArrow(_confirmed, "block long, repeated binary, second binary")
+    confirmed = questions.groupBy("bucket").applyInArrow(_confirmed, "block long, bucket long, bits binary, flags binary")
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, times long, n_words long, n_removed long, removed array<struct<first: long, end: long>>, kept_text string"
     out = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(lambda d, a: _cut(d, a, plan), kinds)
     return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
