@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -87,23 +88,15 @@ def test_a_model_without_words_removes_nothing(spark):
     assert model.leak == 1.0 and t.remove(df, model).count() == 3
 
 
-def test_query_equals_brute_force(spark, sf_dir):
-    """Columns of the query, each score from the fitted weights by a plain noisy-or over sentences."""
-    import re
-
-    from tidemark.llm import queries
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = t.fit(docs, labels.where(~t.held_out(F.col("doc_id"))))
+def brute_score(model):
+    """A text's score from the fitted weights, by a plain noisy-or over sentences."""
     weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    known = {}
 
     def hash_of(word):
         return int(c.hashed_words(*c.arrow_bytes(pa.array([word.encode()])), c.ALNUM, lower=True)[2][0])
 
-    known = {}
-
     def brute(text):
         clean = 1 - model.leak
         for sentence in re.split(r"[.!?\n]", (text or "").translate(lower)):
@@ -114,6 +107,14 @@ def test_query_equals_brute_force(spark, sf_dir):
                 clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(known[w] for w in words))))
         return 1 - clean
 
+    return brute
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    from tidemark.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    brute = brute_score(t.fit(docs, labels.where(~t.held_out(F.col("doc_id")))))
     got = queries.op2_toxicity(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(got) == len(texts)
