@@ -46,15 +46,19 @@ STAGES = [
     ("sharding", cut_shards),
 ]
 
-#: Training, rounding at random and verified seeds are beyond SQL; tests hold the run against brute force.
+#: Training, rounding at random and verified seeds are beyond SQL. tests/llm/test_pipeline.py holds each stage against a
+#: brute-force version over what its predecessor kept: exactly, but for the mix, whose draws are held to their bounds.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and reread."""
-    from tidemark.llm._common import written
+    """All stages over documents, each written to the shared folder and reread; what its successor has read is deleted."""
+    from tidemark.llm._common import delete, written_at
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
