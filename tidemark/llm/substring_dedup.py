@@ -100,9 +100,11 @@ class Plan:
         """The windows whose first hash is flagged among the block's distinct ones: first word, both hashes and times,
         in order of the hashes; and the flags."""
         hashes, where, times = self.windows(docs)
-        distinct = np.unique(hashes)
+        order = np.argsort(hashes)
+        new = _new(hashes[order])
+        distinct = hashes[order[new]]
         flags = self.told(distinct, flags) if isinstance(flags, pa.Table) else flags[: len(distinct)]
-        some = np.flatnonzero(np.isin(hashes, distinct[flags]))
+        some = order[flags[np.cumsum(new) - 1]] if len(order) else order
         first, second = hashes[some], self.seconds(docs)[some] if len(some) else hashes[some]
         order = np.lexsort((second, first))
         return where[some[order]], first[order], second[order], times[some[order]], flags
@@ -136,10 +138,10 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
-def _new(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Whether each of a sorted list of pairs differs from the one before."""
-    out = np.ones(len(first), bool)
-    out[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of a sorted list differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
     return out
 
 
