@@ -146,7 +146,8 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: Windows compared as text, marks by position; the other queries hash or draw in ways that SQL lacks.
+#: Windows compared as text, marks by position. The other queries have columns that hash, draw or learn in ways that
+#: SQL lacks; tests hold the columns that SQL can tell against it.
 OP5_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
