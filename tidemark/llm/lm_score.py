@@ -62,6 +62,17 @@ def _keys(docs: pa.Table) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     return slots(words, first), first
 
 
+def _placed(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them, from one sort."""
+    order = np.argsort(every)
+    found = every[order]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    own = np.empty(len(found), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return found[new], own
+
+
 def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket's keys begin among sorted ones, and the end."""
     inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -85,14 +96,13 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 def _requests(docs: pa.Table, marked: pa.Table, bits: int) -> pa.Table:
     kinds, first = _keys(docs)
     n = np.diff(first)
-    keys, at = np.unique(np.concatenate(kinds)), []
+    keys, own_place = _placed(np.concatenate(kinds))
+    places, at = np.split(own_place, 3), []
     counted = docs["counted"].to_numpy().astype(bool)
     chosen = counted & pc.is_in(docs["doc_id"], value_set=marked["_doc"].combine_chunks()).to_numpy().astype(bool)
     for rows in (counted, chosen):
         own = np.repeat(rows, n)
-        used, times = np.unique(np.concatenate([k[own] for k in kinds]), return_counts=True)
-        at.append(np.zeros(len(keys), np.int64))
-        at[-1][np.searchsorted(keys, used)] = times
+        at.append(sum(np.bincount(x[own], minlength=len(keys)) for x in places))
     edges = _edges(keys, bits)
     spans = [slice(i, j) for i, j in zip(edges[:-1], edges[1:], strict=True)] if len(keys) else []
     block = docs["block"][0].as_py() if len(docs) else 0
@@ -131,8 +141,8 @@ def _losses(docs: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     kinds, first = _keys(docs)
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
-    keys = np.unique(np.concatenate(kinds))
-    word, before, pair = (np.searchsorted(keys, k) for k in kinds)
+    keys, own = _placed(np.concatenate(kinds))
+    word, before, pair = np.split(own, 3)
     sizes = np.diff(_edges(keys, bits))
     order = np.argsort(answers["bucket"].to_numpy())
     sums = {k: int(answers[f"n_{k}"].to_numpy().sum()) for k in ("total", "target", "distinct")}
