@@ -63,6 +63,22 @@ def test_hot_source_and_levels(spark):
     check(rows, m.copies(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_small_sources_are_folded_in_their_own_groups(spark, monkeypatch):
+    """Beside a source of 4,000 each of 30 small ones is one row after the first level, and done."""
+    rows = [(i, "w " * (1 + i % 9), "hot" if i < 4000 else f"s{i % 30}") for i in range(5200)]
+    folded, cut = [], m.c.checkpointed
+
+    def counted(df):
+        df = cut(df)
+        if "settled" in df.columns:
+            folded.append(df.count())
+        return df
+
+    monkeypatch.setattr(m.c, "checkpointed", counted)
+    check(rows, m.copies(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert len(folded) == 2 and folded[0] <= 63 + 30 and folded[1] == 1
+
+
 def test_expectations_hold(spark):
     rows = [(i, "w " * (1 + i % 5), "abc"[i % 3]) for i in range(4500)]
     got = m.copies(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -6,9 +6,10 @@ p and q exchange mass (fraction times size), at random so that each fraction kee
 until one of them is 0 or 1; the other goes on to the next pair. The exchanged masses cancel, so a
 source's taken words stay at its target until its last, single fraction is rounded.
 
-The pairing runs as a reduction tree: documents are dealt into groups of FAN by a hash, each group
-is folded in one row, settles all but one document and passes that one on to the next level, until
-one is left of each source. A source with a third of all rows is many groups from the start.
+The pairing runs as a reduction tree: a source's documents are dealt by a hash into groups of about
+FAN, each group is folded in one row, settles all but one document and passes that one on to the
+next level, until one is left of each source. Groups are counted a source: one with a third of all
+rows is many from the start, a small one is done after its own few levels.
 The randomness is a hash of seed and document, so reruns agree.
 """
 
@@ -32,7 +33,7 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
-    """source, source_size -> and weight, target.
+    """source, source_size -> and weight, target; other columns stay.
 
     The sources, by code point with null last, weigh `weights` in turn. They share the whole by
     weight; none gets more than `most` times its size, and what is over goes to the others by
@@ -53,8 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     # The first source that isn't capped fixes the level of all that follow.
     fixed = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "level"))).over(everything)["level"]
     return levels.withColumn("fixed", fixed).select(
-        "source",
-        "source_size",
+        *sizes.columns,
         "weight",
         F.when(F.col("fixed").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("fixed") * F.col("weight"))).alias("target"),
     )
@@ -96,35 +96,35 @@ def _fold(unit: str) -> str:
 
 
 def round_pivotal(rows: DataFrame, seed: int = SEED, fan: int = FAN) -> DataFrame:
-    """rows(source_no, unit, size > 0, p in [0, 1)) -> (unit, up 0 or 1), sums of size * p kept by source.
+    """rows(source_no, n, unit, size > 0, p in [0, 1)) -> (unit, up 0 or 1), sums of size * p kept by source.
 
-    unit may be any type that can be ordered and tells rows apart. The last fraction of a source
-    goes to the nearer of 0 and 1, so its sum is off by half a unit's size at most.
+    unit may be any type that can be ordered and tells rows apart; n is how many rows the source has.
+    The last fraction of a source goes to the nearer of 0 and 1, so its sum is off by half a unit's
+    size at most.
     """
     unit = rows.schema["unit"].dataType.simpleString()
-    now = rows.select("source_no", "unit", F.col("size").cast("double").alias("size"), "p")
+    now = rows.select("source_no", "n", "unit", F.col("size").cast("double").alias("size"), "p")
     done = now.where("p <= 0").select("unit", F.lit(0).alias("up"))
     now = now.where("p > 0")
-    largest = now.groupBy("source_no").count().agg(F.max("count")).first()[0] or 0
+    largest = now.agg(F.max("n")).first()[0] or 0
     level = 0
     while largest > 0:
         level += 1
-        groups = -(-largest // fan)
+        groups = F.ceil(F.col("n") / F.lit(fan))
         hashed = now.withColumn("hash", F.xxhash64(F.lit(seed), F.lit(level), "unit"))
         # Two hashes: one deals the units into groups, the other draws.
         draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(-level), "unit"), F.lit(1 << 52)) / float(1 << 52)
         folded = (
-            hashed.groupBy("source_no", F.pmod(F.xxhash64("hash"), F.lit(groups)).alias("group"))
+            hashed.groupBy("source_no", groups.alias("n"), F.pmod(F.xxhash64("hash"), groups).alias("group"))
             .agg(F.sort_array(F.collect_list(F.struct("hash", "unit", "size", "p", draw.alias("draw")))).alias("units"))
-            .select("source_no", F.expr(_fold(unit)).alias("f"))
+            .select("source_no", "n", F.expr(_fold(unit)).alias("f"))
         )
-        folded = c.checkpointed(folded.select("source_no", "f.left", "f.settled"))
+        folded = c.checkpointed(folded.select("source_no", "n", "f.left", "f.settled"))
         done = done.union(folded.select(F.explode("settled").alias("it")).select("it.unit", "it.up"))
-        now = folded.select("source_no", "left.unit", "left.size", "left.p")
-        if groups == 1:
-            done = done.union(now.select("unit", (F.col("p") >= 0.5).cast("int").alias("up")))
-            break
-        largest = groups
+        left = folded.select("source_no", "n", "left.unit", "left.size", "left.p")
+        done = done.union(left.where("n = 1").select("unit", (F.col("p") >= 0.5).cast("int").alias("up")))
+        now = left.where("n > 1")
+        largest = -(-largest // fan) if largest > fan else 0
     return done
 
 
@@ -137,13 +137,13 @@ def _decided(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int)
         "doc_id", "source", c.row_key("doc_id", "source", "text").alias("row"), size_of(F.col("text")).alias("size")
     )
     rows = c.checkpointed(rows.withColumn("time", F.row_number().over(Window.partitionBy("row").orderBy("row"))))
-    wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n")), weights, most)
     wanted = wanted.withColumn("source_no", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     wanted = c.checkpointed(wanted.withColumnRenamed("source", "name"))
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     meant = rows.join(wanted, F.col("source").eqNullSafe(F.col("name"))).drop("name", "weight")
     meant = meant.withColumn("mean", mean).withColumn("whole", F.floor("mean").cast("int"))
-    fractions = meant.where("size > 0").select("source_no", F.struct("row", "time").alias("unit"), "size", (F.col("mean") - F.col("whole")).alias("p"))
+    fractions = meant.where("size > 0").select("source_no", "n", F.struct("row", "time").alias("unit"), "size", (F.col("mean") - F.col("whole")).alias("p"))
     ups = round_pivotal(fractions, seed).groupBy(F.col("unit.row").alias("row")).agg(F.sum("up").alias("ups"))
     return meant, ups
 
